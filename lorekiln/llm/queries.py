@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekiln.llm import near_duplicates as nd
+from lorekiln.llm import similar_vectors as sv
 from lorekiln.session import durable, load
 
 #: Parameters of problem 1 as TESTDATA.md states them.
@@ -24,5 +25,17 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return nd.duplicate_groups(members, durable(links)).withColumnRenamed("id", "chunk_id").withColumn("n_links", F.col("n_links").cast("bigint"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of chunks of cosine 0.9 or more of which one is among the 5 most similar of the other."""
+    return sv.mutual_pairs(sv.most_similar(load(spark, sf, "chunks"), "chunk_id", "embedding", dim=64, k=5, least=0.9))
+
+
+def p2_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 most similar chunks of every chunk whose ord is divisible by 50, against all chunks, exactly."""
+    chunks = load(spark, sf, "chunks").select("ord", "chunk_id", "embedding")
+    found = sv.search(chunks.filter("ord % 50 = 0"), chunks, "chunk_id", "embedding", dim=64, k=5)
+    return found.select(F.col("id").alias("chunk_id"), "rank", "neighbour", F.round("cosine", 6).alias("cosine"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_search)}
