@@ -1,9 +1,13 @@
 """All registered core queries and their oracle SQL."""
 
+from __future__ import annotations
+
+from lorekiln.plans import problems
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in problems.QUERIES}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(problems.ORACLE)
