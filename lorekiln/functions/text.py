@@ -10,7 +10,7 @@ NAME_EXTENSION = r"(?i)\.(?:md|txt|yaml|yml|json)$"
 NAME_SEPARATORS = r"[_/\\]+"
 MARKDOWN_IMAGE = r"(?i)!\[([^\n\r]*?)\]\(data:image/[^;]+;base64,[^)]+\)"
 HTML_IMAGE = r"""(?i)<img\s+[^>]*src=["']data:image/[^;]+;base64,[^"']+["'][^>]*>"""
-SPACE = r"[\s ﻿\p{Z}]"
+SPACE = r"[\s\u00A0\uFEFF\p{Z}]"
 
 
 def trimmed(c: Column) -> Column:
