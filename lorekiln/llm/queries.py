@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekiln.llm import leakage as lk
 from lorekiln.llm import near_duplicates as nd
 from lorekiln.llm import similar_vectors as sv
+from lorekiln.llm import splitting as sp
 from lorekiln.session import durable, load
 
 #: Parameters of problem 1 as TESTDATA.md states them.
@@ -37,5 +39,38 @@ def p2_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id").alias("chunk_id"), "rank", "neighbour", F.round("cosine", 6).alias("cosine"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Oversized chunks, and whether their blocks fit the limit."""
+    pieces = sp.oversized_pieces(load(spark, sf, "chunks"), "chunk_id", "content")
+    return pieces.filter("piece = 0").select(F.col("id").alias("chunk_id"), "kind")
+
+
+def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """All chunks after splitting, with heading path and chunk_index renumbered in each file."""
+    return sp.resplit_chunks(load(spark, sf, "chunks"))
+
+
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return lk.leaked_spans(load(spark, sf, "documents"), "doc_id", "text", load(spark, sf, "eval_items"), "item_id", "text")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold at least 12 consecutive words of an evaluation item."""
+    return _leaks(spark, sf).select(F.col("id").cast("bigint").alias("doc_id"), F.col("item_id").cast("bigint").alias("item_id"))
+
+
+def p6_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation items that leaked: in how many documents, and how many words of them."""
+    words = F.aggregate("spans", F.lit(0), lambda n, s: n + s[1] - s[0] + 1)
+    by_item = _leaks(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.sum(words).alias("n_words"))
+    return by_item.select(F.col("item_id").cast("bigint").alias("item_id"), "n_documents", "n_words")
+
+
+def p6_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents without the leaked passages; those that are mostly leaked are dropped."""
+    cleaned = lk.decontaminated(load(spark, sf, "documents"), "doc_id", "text", durable(_leaks(spark, sf)))
+    return cleaned.select(F.col("id").cast("bigint").alias("doc_id"), "text", "removed_words", "dropped")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_search)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_search, p4_found, p4_pieces, p6_found, p6_items, p6_cleaned)}
