@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorekiln.llm.automaton import SuffixAutomaton
 from lorekiln.session import durable
 
 #: A word with its combining marks, if they stand apart.
@@ -29,20 +30,13 @@ def plain(word: str) -> str:
     return word if word.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", word)).replace("đ", "d")
 
 
-class Automaton:
+class ItemAutomaton(SuffixAutomaton):
     """Generalised suffix automaton over words; each state knows the items that contain its strings."""
 
     def __init__(self, items: list[tuple[object, list[str]]], least: int) -> None:
+        super().__init__()
         self.least, self.vocabulary = least, {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        ends: list[list[int]] = []
-        for _, words in items:
-            last, own = 0, []
-            for word in words:
-                last = self._extend(last, self.vocabulary.setdefault(word, len(self.vocabulary)))
-                own.append(last)
-            ends.append(own)
+        ends = [self.feed(self.vocabulary.setdefault(word, len(self.vocabulary)) for word in words) for _, words in items]
         held: list[set] = [set() for _ in self.next]
         for (item, _), own in zip(items, ends, strict=True):
             for state in own:
@@ -51,40 +45,11 @@ class Automaton:
                     state = self.link[state]
         # The items that hold the last ``least`` words of a match are those of its shortest suffix state that long.
         self.items: list[tuple] = [()] * len(self.next)
-        for state in sorted(range(len(self.next)), key=self.length.__getitem__):
+        for state in self.by_length():
             if self.length[state] >= least:
                 up = self.link[state]
                 self.items[state] = self.items[up] if self.length[up] >= least else tuple(sorted(held[state]))
 
-    def _state(self, length: int, follows: dict[int, int], link: int) -> int:
-        self.next.append(follows)
-        self.length.append(length)
-        self.link.append(link)
-        return len(self.next) - 1
-
-    def _split(self, at: int, word: int, target: int) -> int:
-        """A copy of ``target`` for the strings that end ``at`` plus ``word``; redirects the suffixes of ``at``."""
-        copy = self._state(self.length[at] + 1, dict(self.next[target]), self.link[target])
-        self.link[target] = copy
-        while at >= 0 and self.next[at].get(word) == target:
-            self.next[at][word] = copy
-            at = self.link[at]
-        return copy
-
-    def _extend(self, last: int, word: int) -> int:
-        known = self.next[last].get(word)
-        if known is not None:
-            return known if self.length[known] == self.length[last] + 1 else self._split(last, word, known)
-        new = self._state(self.length[last] + 1, {}, 0)
-        at = last
-        while at >= 0 and word not in self.next[at]:
-            self.next[at][word] = new
-            at = self.link[at]
-        if at >= 0:
-            target = self.next[at][word]
-            self.link[new] = target if self.length[target] == self.length[at] + 1 else self._split(at, word, target)
-        return new
-
     def matches(self, ids: list[int]) -> Iterator[tuple[int, int, tuple]]:
         """(position, longest match ending there, items of its last ``least`` words), where that is long enough."""
         state = matched = 0
@@ -125,7 +90,7 @@ def _runs(ids: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
             yield int(start), int(stop)
 
 
-def _scan(texts: DataFrame, automaton: Automaton) -> DataFrame:
+def _scan(texts: DataFrame, automaton: ItemAutomaton) -> DataFrame:
     """(id, item_id, longest, spans): spans are [first, last] word positions of each stretch, in text order."""
     shared = texts.sparkSession.sparkContext.broadcast(automaton)
 
@@ -175,9 +140,9 @@ def leaked_spans(documents: DataFrame, id_column: str, text_column: str, items:
             held.append((row[0], words))
             size += len(words)
         if size >= block_words:
-            found, held, size = _with(found, _scan(texts, Automaton(held, least))), [], 0
+            found, held, size = _with(found, _scan(texts, ItemAutomaton(held, least))), [], 0
     if held or found is None:
-        found = _with(found, _scan(texts, Automaton(held, least)))
+        found = _with(found, _scan(texts, ItemAutomaton(held, least)))
     return found
 
 

@@ -9,6 +9,7 @@ from lorekiln.llm import leakage as lk
 from lorekiln.llm import near_duplicates as nd
 from lorekiln.llm import similar_vectors as sv
 from lorekiln.llm import splitting as sp
+from lorekiln.llm import stuffing as st
 from lorekiln.session import durable, load
 
 #: Parameters of problem 1 as TESTDATA.md states them.
@@ -72,5 +73,10 @@ def p6_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return cleaned.select(F.col("id").cast("bigint").alias("doc_id"), "text", "removed_words", "dropped")
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of repeated keywords, links or tags."""
+    return st.stuffed_pages(load(spark, sf, "documents"), "doc_id", "text").select(F.col("id").cast("bigint").alias("doc_id"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_search, p4_found, p4_pieces, p6_found, p6_items, p6_cleaned)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_search, p4_found, p4_pieces, p6_found, p6_items, p6_cleaned, p8_found)}
