@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekiln.llm import leakage as lk
+from lorekiln.llm import mixing as mx
 from lorekiln.llm import near_duplicates as nd
 from lorekiln.llm import similar_vectors as sv
 from lorekiln.llm import splitting as sp
@@ -73,10 +74,24 @@ def p6_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return cleaned.select(F.col("id").cast("bigint").alias("doc_id"), "text", "removed_words", "dropped")
 
 
+def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of each recipe, with how often each is taken."""
+    chosen, _ = mx.mixture(load(spark, sf, "documents"), load(spark, sf, "mix_targets"))
+    return chosen.select("recipe", F.col("id").cast("bigint").alias("doc_id"), "source", "n_tokens", "repeats")
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual shares of every source of each recipe."""
+    return mx.mixture(load(spark, sf, "documents"), load(spark, sf, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pages of repeated keywords, links or tags."""
     return st.stuffed_pages(load(spark, sf, "documents"), "doc_id", "text").select(F.col("id").cast("bigint").alias("doc_id"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_search, p4_found, p4_pieces, p6_found, p6_items, p6_cleaned, p8_found)}
+    return {
+        f.__name__: f
+        for f in (p1_found, p1_groups, p2_found, p2_search, p4_found, p4_pieces, p6_found, p6_items, p6_cleaned, p7_mixture, p7_shares, p8_found)
+    }
