@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lorekiln.plans import problems
+from lorekiln.plans import problems, retrieval
+
+MODULES = (retrieval, problems)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in problems.QUERIES}
+    return {f.__name__: f for m in MODULES for f in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problems.ORACLE)
+    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
