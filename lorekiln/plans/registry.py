@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorekiln.plans import problems, retrieval
+from lorekiln.plans import graphs, problems, retrieval
 
-MODULES = (retrieval, problems)
+MODULES = (retrieval, graphs, problems)
 
 
 def queries() -> dict:
