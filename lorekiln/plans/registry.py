@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorekiln.plans import graphs, problems, retrieval
+from lorekiln.plans import graphs, notes, problems, quality, retrieval
 
-MODULES = (retrieval, graphs, problems)
+MODULES = (retrieval, graphs, notes, quality, problems)
 
 
 def queries() -> dict:
