@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekiln.functions.text import token_estimate
+from lorekiln.functions.text import token_estimate, trimmed
 from lorekiln.operators.lexical import POOL, keyword_search
 from lorekiln.operators.vectors import hash_embedding, sparse_cosine
 
@@ -48,11 +48,12 @@ def context_blocks(ranked: DataFrame, docs: DataFrame, max_tokens: int = 2_000)
     ``ranked`` is (query_id, id, rank), ``docs`` (id, path, heading_path, content). The first block is always
     taken; blocks end at the first that would overflow.
     """
-    head = F.concat(F.lit("### ["), F.coalesce("path", F.lit("")), F.lit("] > "), F.coalesce("heading_path", F.lit("")), F.lit("\n"))
+    heading = F.when(F.coalesce("heading_path", F.lit("")) == "", "").otherwise(F.concat(F.lit(" > "), "heading_path"))
+    head = F.concat(F.lit("### ["), F.coalesce("path", F.lit("")), F.lit("]"), heading, F.lit("\n"))
     block = F.concat(head, F.coalesce("content", F.lit("")), F.lit("\n\n---\n\n"))
     rows = ranked.join(docs, "id").select("query_id", "rank", block.alias("block")).withColumn("est", token_estimate(F.col("block")))
     upto = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     kept = rows.withColumn("total", F.sum("est").over(upto)).withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     kept = kept.filter((F.col("nth") == 1) | (F.col("total") <= max_tokens))
     listed = F.sort_array(F.collect_list(F.struct("rank", "block")))
-    return kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks_count"), F.sum("est").alias("estimated_tokens"), F.array_join(F.transform(listed, lambda s: s["block"]), "").alias("context"))
+    return kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks_count"), F.sum("est").alias("estimated_tokens"), trimmed(F.array_join(F.transform(listed, lambda s: s["block"]), "")).alias("context"))

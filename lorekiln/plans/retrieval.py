@@ -191,11 +191,11 @@ SELECT term, id AS chunk_id, col, count(*) AS tf, array_to_string(list_sort(list
     "hybrid_search": f"WITH {_ASKED}, {_INDEX}, {_BM25}, {_VEC}, {_FUSED} {_TOP.format('fused')}",
     "context_for_query": f"""WITH {_ASKED}, {_INDEX}, {_BM25}, {_VEC}, {_FUSED},
 blocks AS (
-  SELECT query_id, rank, '### [' || coalesce(path, '') || '] > ' || coalesce(heading_path, '') || chr(10) || coalesce(content, '') || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS block
+  SELECT query_id, rank, '### [' || coalesce(path, '') || ']' || CASE WHEN coalesce(heading_path, '') = '' THEN '' ELSE ' > ' || heading_path END || chr(10) || coalesce(content, '') || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS block
   FROM fused JOIN chunks ON chunk_id = id LEFT JOIN files USING (file_id) WHERE rank <= 15),
 est AS (SELECT *, CAST(ceil(length(block) / 4.0) AS BIGINT) AS est FROM blocks),
 tot AS (SELECT *, sum(est) OVER (PARTITION BY query_id ORDER BY rank) AS total, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM est)
-SELECT query_id, count(*) AS chunks_count, CAST(sum(est) AS BIGINT) AS estimated_tokens, sha256(string_agg(block, '' ORDER BY rank)) AS context_sha FROM tot WHERE nth = 1 OR total <= 2000 GROUP BY 1""",
+SELECT query_id, count(*) AS chunks_count, CAST(sum(est) AS BIGINT) AS estimated_tokens, sha256(regexp_replace(string_agg(block, '' ORDER BY rank), '^[{_SP}]+|[{_SP}]+$', '', 'g')) AS context_sha FROM tot WHERE nth = 1 OR total <= 2000 GROUP BY 1""",
     "vector_topk": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, e.vec_id, CASE WHEN len(q.v) = len(e.v) THEN coalesce(list_cosine_similarity(q.v, e.v), 0) ELSE 0 END AS score FROM e q, e WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
