@@ -76,10 +76,6 @@ def chunk_notes(notes: DataFrame, limit: int = MAX_CHARS, overlap: int = OVERLAP
     """
     plain = F.array(F.struct(F.lit("").alias("path"), trimmed(without_inline_images(F.col("content"))).alias("content")))
     sections = F.when(F.lower("path").endswith(".txt"), plain).otherwise(heading_sections(F.col("content")))
-    rows = notes.filter("content is not null").select("path", F.posexplode(sections).alias("section", "s"))
-    rows = rows.select("path", "section", F.col("s.path").alias("heading_path"), F.posexplode(split_long(F.col("s.content"), limit, overlap)).alias("piece", "content"))
-    # chunks of one note: a window no larger than a note
-    from pyspark.sql import Window
-
-    index = F.row_number().over(Window.partitionBy("path").orderBy("section", "piece")) - 1
-    return rows.select("path", index.alias("chunk_index"), "heading_path", "content")
+    pieces = F.flatten(F.transform("sections", lambda s: F.transform(split_long(s["content"], limit, overlap), lambda c: F.struct(s["path"].alias("heading_path"), c.alias("content")))))
+    rows = notes.filter("content is not null").select("path", sections.alias("sections"))
+    return rows.select("path", F.posexplode(pieces).alias("chunk_index", "c")).select("path", "chunk_index", "c.heading_path", "c.content")
