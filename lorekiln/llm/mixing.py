@@ -145,8 +145,9 @@ def mixture(documents: DataFrame, targets: DataFrame, id_column: str = "doc_id",
     wanted = targets.filter("recipe is not null and source is not null").groupBy("recipe", source_key(F.col("source")).alias("source"))
     wanted = wanted.agg(F.greatest(F.coalesce(F.max("target_share"), F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.greatest(F.coalesce(F.max("max_repeats"), F.lit(0)), F.lit(0)).alias("max_repeats"))
     wanted = durable(wanted)
-    listed = documents.join(F.broadcast(wanted.select(F.col("source").alias("listed")).distinct()), source_key(F.col("source")) == F.col("listed"), "left_semi")
-    sized = durable(token_counts(listed, id_column, text_column, source_key(F.col("source")), tokenizer))
+    texts = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), source_key(F.col("source")).alias("source"))
+    texts = texts.join(F.broadcast(wanted.select("source").distinct()), "source", "left_semi")
+    sized = durable(token_counts(texts, "id", "text", F.col("source"), tokenizer))
     histogram = durable(sized.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("held")))
     takes = durable(plan(histogram, wanted, total_tokens))
 

@@ -165,8 +165,8 @@ def near_duplicates(
 
     Banding finds a pair of similarity s with probability 1 - (1 - s^depth)^bands: 0.9986 at 0.7, 0.999997 at 0.8.
     The signature then drops pairs that lie more than 3.5 standard deviations under the threshold.
-    Null, empty and short texts are in no class. Ids are compared as strings; a repeated id with one text counts
-    once. Other columns, whatever their names, are ignored. An empty table gives empty results.
+    Null, empty and short texts are in no class. Ids are compared as strings; a repeated id counts
+    once, with different texts as a member of the class of smallest rep. Other columns, whatever their names, are ignored. An empty table gives empty results.
     """
     texts = rows.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text"))
     texts = texts.filter(F.col("id").isNotNull() & (F.length("text") >= 2 * min_words - 1))

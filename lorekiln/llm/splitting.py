@@ -10,10 +10,12 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, groupby
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekiln.functions.text import without_inline_images
@@ -90,55 +92,100 @@ def oversized_pieces(rows: DataFrame, id_column: str, text_column: str, limit: i
     else ``inside``. Lengths are code points. Null, empty and short texts give no rows; a repeated row gives its
     pieces again; extra columns are ignored. No shuffle; one text is one row, whatever its length.
     """
+    rows = rows.select(F.col(id_column).cast("string").alias("carry"), cleaned(text_column).alias("text"))
+    out = _cut(rows.filter(F.length("text") > limit), limit, overlap)
+    return out.select(F.col("carry").alias("id"), "kind", "piece", "start", "stop", "cut", "content")
+
+
+def _cut(long: DataFrame, limit: int, overlap: int) -> DataFrame:
+    """The pieces of each (carry, text) row, ``carry`` unchanged beside them."""
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be under half of the limit")
-    long = rows.select(F.col(id_column).cast("string").alias("id"), cleaned(text_column).alias("text")).filter(F.length("text") > limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
+            for i, scalar in enumerate(batch.column(1)):
+                text = scalar.as_py()
                 found = spans(text, limit, overlap)
                 kind = "blocks" if fits_in_blocks(text, limit) else "inside"
                 for at in range(0, len(found), 1_000):
                     some = found[at : at + 1_000]
-                    data = {
-                        "id": [i] * len(some),
-                        "kind": [kind] * len(some),
-                        "piece": range(at, at + len(some)),
-                        "start": [s for s, _, _ in some],
-                        "stop": [e for _, e, _ in some],
-                        "cut": [None if k < 0 else CUTS[k] for _, _, k in some],
-                        "content": [text[s:e] for s, e, _ in some],
-                    }
-                    yield pa.RecordBatch.from_pydict(data, schema=schema)
+                    columns = [
+                        batch.column(0).take(pa.array([i] * len(some))),
+                        pa.array([kind] * len(some)),
+                        pa.array(range(at, at + len(some)), pa.int32()),
+                        pa.array([s for s, _, _ in some], pa.int32()),
+                        pa.array([e for _, e, _ in some], pa.int32()),
+                        pa.array([None if k < 0 else CUTS[k] for _, _, k in some], pa.string()),
+                        pa.array([text[s:e] for s, e, _ in some]),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["carry", "kind", "piece", "start", "stop", "cut", "content"])
 
-    schema = pa.schema([("id", pa.string()), ("kind", pa.string()), ("piece", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("cut", pa.string()), ("content", pa.string())])
-    return long.mapInArrow(run, "id string, kind string, piece int, start int, stop int, cut string, content string")
+    carried = long.schema["carry"].dataType.simpleString()
+    return long.mapInArrow(run, f"carry {carried}, kind string, piece int, start int, stop int, cut string, content string")
 
 
 def resplit_chunks(chunks: DataFrame, limit: int = 2_800, overlap: int = 400) -> DataFrame:
     """(chunk_id, file_id, heading_path, chunk_index, piece, content): all chunks, oversized ones as pieces.
 
-    chunk_index is renumbered from 0 in each file, by old index, arrival (ord) and piece; old gaps and repeats do not
-    matter. Null contents keep their row. Rows are numbered over range partitions of (file_id, chunk_index, ord)
-    with per-partition offsets, so one file may hold any share of the rows.
+    chunk_index is renumbered from 0 in each file, by old index, arrival (ord), chunk_id and piece; old gaps and
+    repeats do not matter, a repeated row is numbered again, and rows without file_id are numbered together. Null
+    contents keep their row. Rows are sorted over range partitions; each partition goes on counting where the one
+    before left off in the file that they share, so one file may hold any share of the rows.
     """
     text = cleaned("content")
-    short = chunks.filter(F.col("content").isNull() | (F.length(text) <= limit))
-    same = short.select("chunk_id", "ord", "file_id", "heading_path", "chunk_index", F.lit(0).alias("piece"), text.alias("content"))
-    whole = chunks.filter(F.length(text) > limit)
-    pieces = oversized_pieces(whole, "ord", "content", limit, overlap).select(F.col("id").cast("long").alias("ord"), "piece", F.col("content").alias("cut_content"))
-    cut = whole.select("chunk_id", "ord", "file_id", "heading_path", "chunk_index").join(pieces, "ord")
-    cut = cut.select("chunk_id", "ord", "file_id", "heading_path", "chunk_index", "piece", F.col("cut_content").alias("content"))
-    rows = same.unionByName(cut)
-    order = ["file_id", "chunk_index", "ord", "piece"]
-    placed = durable(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    sizes = placed.groupBy("file_id", "part").agg(F.count(F.lit(1)).alias("held"))
-    earlier = Window.partitionBy("file_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("base", F.coalesce(F.sum("held").over(earlier), F.lit(0)))
-    inside = Window.partitionBy("file_id", "part").orderBy(*order[1:])
-    numbered = placed.withColumn("nth", F.row_number().over(inside))
-    base = sizes.select(F.col("file_id").alias("f"), F.col("part").alias("p"), "base")
-    joined = numbered.join(base, F.col("file_id").eqNullSafe(F.col("f")) & (F.col("part") == F.col("p")))
-    return joined.select("chunk_id", "file_id", "heading_path", (F.col("base") + F.col("nth") - 1).cast("int").alias("chunk_index"), "piece", "content")
+    keys = F.struct("file_id", "chunk_index", "ord", "chunk_id", "heading_path")
+    whole = chunks.select(keys.alias("carry"), text.alias("text")).filter(F.length("text") > limit)
+    short = chunks.filter(F.col("content").isNull() | (F.length(text) <= limit)).select(keys.alias("carry"), F.lit(0).alias("piece"), text.alias("content"))
+    rows = short.unionByName(_cut(whole, limit, overlap).select("carry", "piece", "content")).select("carry.*", "piece", "content")
+    order = ["file_id", "chunk_index", "ord", "chunk_id", "piece"]
+    placed = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order))
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row a partition: its first and last file and how many rows they have."""
+        first = last = None
+        n_first = n_last = n = 0
+        for batch in batches:
+            for file, size in _runs(batch.column(0)):
+                if n and file == last:
+                    n_last += size
+                else:
+                    last, n_last = file, size
+                first = file if not n else first
+                n += size
+                n_first += size if file == first and n_first + size == n else 0
+        if n:
+            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "first": [first], "n_first": [n_first], "last": [last], "n_last": [n_last], "n": [n]}, schema=summary)
+
+    summary = pa.schema([("part", pa.int32()), ("first", pa.string()), ("n_first", pa.int64()), ("last", pa.string()), ("n_last", pa.int64()), ("n", pa.int64())])
+    # as many rows as there are partitions
+    found = sorted(placed.select("file_id").mapInArrow(edges, "part int, first string, n_first long, last string, n_last long, n long").collect())
+    base, open_file, open_rows = {}, object(), 0
+    for part, first, n_first, last, n_last, n in found:
+        base[part] = open_rows if first == open_file else 0
+        open_rows = n_last + (base[part] if n_first == n else 0)
+        open_file = last
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, count = object(), base.get(TaskContext.get().partitionId(), 0)
+        started = False
+        for batch in batches:
+            index = []
+            for file, size in _runs(batch.column(0)):
+                if started and file != current:
+                    count = 0
+                current, started = file, True
+                index.append(np.arange(count, count + size, dtype=np.int32))
+                count += size
+            if index:
+                columns = {name: batch.column(name) for name in ("chunk_id", "file_id", "heading_path")}
+                columns |= {"chunk_index": pa.array(np.concatenate(index)), "piece": batch.column("piece"), "content": batch.column("content")}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return placed.mapInArrow(number, "chunk_id string, file_id string, heading_path string, chunk_index int, piece int, content string")
+
+
+def _runs(column: pa.Array) -> Iterator[tuple[str | None, int]]:
+    """Equal neighbours with their number."""
+    for value, group in groupby(column.to_pylist()):
+        yield value, sum(1 for _ in group)
