@@ -69,7 +69,7 @@ def embedded(rows: DataFrame, id_column: str, text_column: str, dim: int, provid
                     vectors[i], models[i] = v, (name if made is not None else HASH_MODEL)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float32())), pa.array(models, pa.string())], names=["id", "embedding", "embedding_model"])
 
-    return texts.mapInArrow(run, "id string, embedding array<float>, embedding_model string")
+    return texts.mapInArrow(run, f"id {dict(texts.dtypes)['id']}, embedding array<float>, embedding_model string")
 
 
 def context_window(document: F.Column, limit: int = 12_000) -> F.Column:

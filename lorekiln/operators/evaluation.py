@@ -32,8 +32,8 @@ def ranking_metrics(retrieved: DataFrame, truth: DataFrame, queries: DataFrame,
     def scored(value: Column) -> Column:
         return F.when(F.col("truths").isNull(), 1.0).otherwise(F.coalesce(value, F.lit(0.0)))
 
-    out = [scored(F.least(F.lit(1.0), F.col(f"h{k}").cast("double"))).alias(f"hit_rate_{k}") for k in ks]
-    out += [scored(F.least(F.lit(1.0), F.col(f"h{k}") / F.col("truths"))).alias(f"recall_{k}") for k in ks]
+    out = [scored(F.least(F.lit(1.0), F.coalesce(f"h{k}", F.lit(0)).cast("double"))).alias(f"hit_rate_{k}") for k in ks]
+    out += [scored(F.least(F.lit(1.0), F.coalesce(f"h{k}", F.lit(0)) / F.col("truths"))).alias(f"recall_{k}") for k in ks]
     return rows.select("query_id", *out, scored(1.0 / F.col("first")).alias("mrr"), scored(F.col("dcg") / ideal).alias("ndcg_5"))
 
 

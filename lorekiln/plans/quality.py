@@ -96,7 +96,7 @@ _RANKED = (
     + ", ".join(f"count(*) FILTER (WHERE rank <= {k}) AS h{k}" for k in (1, 3, 5, 10))
     + """, min(rank) AS first, sum(1 / log2(rank + 1)) FILTER (WHERE rank <= 5) AS dcg FROM hit GROUP BY 1),
 m AS (SELECT q.vec_id AS query_id, q.label AS category, """
-    + ", ".join(f"CASE WHEN t IS NULL THEN 1 ELSE coalesce(least(1, CAST(h{k} AS DOUBLE)), 0) END AS hit_rate_{k}, CASE WHEN t IS NULL THEN 1 ELSE coalesce(least(1, h{k} / t), 0) END AS recall_{k}" for k in (1, 3, 5, 10))
+    + ", ".join(f"CASE WHEN t IS NULL THEN 1 ELSE least(1, CAST(coalesce(h{k}, 0) AS DOUBLE)) END AS hit_rate_{k}, CASE WHEN t IS NULL THEN 1 ELSE least(1, coalesce(h{k}, 0) / t) END AS recall_{k}" for k in (1, 3, 5, 10))
     + """, CASE WHEN t IS NULL THEN 1 ELSE coalesce(1.0 / first, 0) END AS mrr,
   CASE WHEN t IS NULL THEN 1 ELSE coalesce(dcg / list_sum(list_transform(range(1, least(t, 5) + 1), lambda i: 1 / log2(i + 1))), 0) END AS ndcg_5
   FROM q LEFT JOIN n ON n.query_id = q.vec_id LEFT JOIN h ON h.query_id = q.vec_id)"""

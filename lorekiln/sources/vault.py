@@ -24,7 +24,7 @@ def scan_vault(spark: SparkSession, vault_dir: str, with_content: bool = True) -
     if not _exists(spark, vault_dir):
         return spark.createDataFrame([], _SCANNED)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(vault_dir)
-    text = F.decode(F.col("content"), F.lit("UTF-8")) if with_content else F.lit(None).cast("string")
+    text = F.decode("content", "UTF-8") if with_content else F.lit(None).cast("string")
     return files.filter(F.col("path").rlike(NOTE)).select(relative(vault_dir).alias("path"), F.floor(F.unix_micros("modificationTime") / 1000).alias("mtime_ms"), F.col("length").alias("size"), text.alias("content"))
 
 

@@ -16,7 +16,7 @@ _BINARY = "path string, modificationTime timestamp, length bigint, content binar
 def note_stream(spark: SparkSession, vault_dir: str, files_per_batch: int = 1_000) -> DataFrame:
     """New note files of a vault as they appear: (path, mtime, hash, chars)."""
     raw = spark.readStream.format("binaryFile").schema(_BINARY).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(vault_dir)
-    text = F.decode(F.col("content"), F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     return raw.filter(F.col("path").rlike(NOTE)).select(relative(vault_dir).alias("path"), F.col("modificationTime").alias("mtime"), F.sha2(text, 256).alias("hash"), F.length(text).alias("chars"))
 
 
