@@ -128,8 +128,9 @@ def leaked_spans(documents: DataFrame, id_column: str, text_column: str, items:
 
     ``spans`` are the word stretches [first, last] covered by such matches with the item; ``longest`` bounds the
     longest match met there. Words are runs of letters and digits, lower-cased, without accents (đ is d);
-    everything else is ignored. Null and short texts and items match nothing; repeated items and rows each count;
-    an empty side gives no rows. Ids are compared as strings. Driver and broadcast hold one block of items, at
+    everything else is ignored. Null and short texts and items match nothing; rows of one item id count as one
+    item, unless they fall into two blocks, which then give a row each; a repeated text counts again; an empty
+    side gives no rows. Ids are compared as strings. Driver and broadcast hold one block of items, at
     most ``block_words`` words and the item that goes beyond; texts are never shuffled.
     """
     texts = documents.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text")).filter(F.length("text") >= 2 * least - 1)

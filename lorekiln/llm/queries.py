@@ -58,7 +58,7 @@ def _leaks(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold at least 12 consecutive words of an evaluation item."""
-    return _leaks(spark, sf).select(F.col("id").cast("bigint").alias("doc_id"), F.col("item_id").cast("bigint").alias("item_id"))
+    return _leaks(spark, sf).select(F.col("id").cast("bigint").alias("doc_id"), F.col("item_id").cast("bigint").alias("item_id")).distinct()
 
 
 def p6_items(spark: SparkSession, sf: str) -> DataFrame:
