@@ -25,7 +25,7 @@ TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 
 def tokens(c: Column) -> Column:
     """Runs of letters and numbers, lower case, single diacritics folded; null gives an empty array."""
-    folded = F.translate(F.lower(F.regexp_replace(c, MARKS, "")), FOLD_FROM, FOLD_TO)
+    folded = F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(F.lower(F.regexp_replace(c, MARKS, "")), FOLD_FROM, FOLD_TO)).otherwise(F.lower(c))
     return F.coalesce(F.regexp_extract_all(folded, F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 

@@ -14,8 +14,9 @@ HEADING = rf"^(#{{1,6}}){SPACE}+([^\r]+)$"
 
 def _sections(lines: Column) -> Column:
     """array<struct<path, content>> from an array of lines; blank sections are left out."""
-    marked = F.transform(lines, lambda l, i: F.struct(i.alias("at"), F.length(F.regexp_extract(l, HEADING, 1)).alias("level"), trimmed(F.regexp_extract(l, HEADING, 2)).alias("title")))
-    heads = F.filter(marked, lambda h: h["level"] > 0)
+    marked = F.filter(F.transform(lines, lambda l, i: F.struct(i.alias("at"), l.alias("line"))), lambda h: h["line"].startswith("#"))
+    heads = F.transform(marked, lambda h: F.struct(h["at"].alias("at"), F.length(F.regexp_extract(h["line"], HEADING, 1)).alias("level"), trimmed(F.regexp_extract(h["line"], HEADING, 2)).alias("title")))
+    heads = F.filter(heads, lambda h: h["level"] > 0)
     stack, out = "array<struct<level:int,title:string>>", "array<struct<at:int,path:string>>"
     start = F.struct(F.array().cast(stack).alias("stack"), F.array(F.struct(F.lit(-1).alias("at"), F.lit("").alias("path"))).cast(out).alias("out"))
 
@@ -37,13 +38,13 @@ def heading_sections(text: Column) -> Column:
     return _sections(F.split(body(without_inline_images(text)), r"\r?\n"))
 
 
-def split_long(text: Column, limit: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
+def split_long(text: Column, limit: int = MAX_CHARS, overlap: int = OVERLAP_CHARS, trim: bool = True) -> Column:
     """array<string>: paragraphs packed up to ``limit``, the tail of a flushed piece carried over.
 
     A piece may exceed the limit by the overlap and two characters; a paragraph over the limit is sliced at a
     stride of limit - overlap, without carry-over.
     """
-    whole, stride = trimmed(text), limit - overlap
+    whole, stride = trimmed(text) if trim else text, limit - overlap
     paragraphs = F.filter(F.transform(F.split(whole, rf"\n{SPACE}*\n"), trimmed), lambda p: p != "")
 
     def slices(p: Column) -> Column:
@@ -76,6 +77,6 @@ def chunk_notes(notes: DataFrame, limit: int = MAX_CHARS, overlap: int = OVERLAP
     """
     plain = F.array(F.struct(F.lit("").alias("path"), trimmed(without_inline_images(F.col("content"))).alias("content")))
     sections = F.when(F.lower("path").endswith(".txt"), plain).otherwise(heading_sections(F.col("content")))
-    pieces = F.flatten(F.transform("sections", lambda s: F.transform(split_long(s["content"], limit, overlap), lambda c: F.struct(s["path"].alias("heading_path"), c.alias("content")))))
+    pieces = F.flatten(F.transform("sections", lambda s: F.transform(split_long(s["content"], limit, overlap, trim=False), lambda c: F.struct(s["path"].alias("heading_path"), c.alias("content")))))
     rows = notes.filter("content is not null").select("path", sections.alias("sections"))
     return rows.select("path", F.posexplode(pieces).alias("chunk_index", "c")).select("path", "chunk_index", "c.heading_path", "c.content")

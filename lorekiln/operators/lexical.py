@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekiln.functions.tokens import query_phrases, tokens
-from lorekiln.session import HOT_BROADCAST_ROWS
+from lorekiln.session import HOT_BROADCAST_ROWS, durable
 
 K1, B = 1.2, 0.75
 #: Hits that a keyword search returns at most, whatever is asked for.
@@ -58,14 +58,15 @@ def phrases(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     return rows.groupBy("query_id", F.array_join("t", " ").alias("phrase"), F.size("t").alias("words")).agg(F.count(F.lit(1)).alias("times"))
 
 
-def _sequences(m: int) -> Column:
+def _sequences(words: Column, m: int) -> Column:
     """All runs of ``m`` neighbouring tokens, joined by a blank."""
-    starts = F.when(F.size("tokens") >= m, F.sequence(F.lit(1), F.size("tokens") - (m - 1))).otherwise(F.array().cast("array<int>"))
-    return F.col("tokens") if m == 1 else F.transform(starts, lambda i: F.array_join(F.slice("tokens", i, m), " "))
+    starts = F.when(F.size(words) >= m, F.sequence(F.lit(1), F.size(words) - (m - 1))).otherwise(F.array().cast("array<int>"))
+    return words if m == 1 else F.transform(starts, lambda i: F.array_join(F.slice(words, i, m), " "))
 
 
 def phrase_hits(docs: DataFrame, id_column: str, columns: list[str], wanted: DataFrame) -> DataFrame:
-    """(id, phrase, f): occurrences of each wanted phrase, both columns together, none across columns.
+    """(id, phrase, f, dl): occurrences of each wanted phrase, all columns together, none across columns, and the
+    document's tokens.
 
     Documents give their word sequences of the lengths that occur among the phrases; only those that are asked for
     survive the join, before anything is shuffled if the phrases are few enough to broadcast.
@@ -73,12 +74,15 @@ def phrase_hits(docs: DataFrame, id_column: str, columns: list[str], wanted: Dat
     distinct = wanted.select("phrase", "words").distinct()
     lengths = sorted(r[0] for r in distinct.select("words").distinct().collect())
     few = distinct.limit(HOT_BROADCAST_ROWS + 1).count() <= HOT_BROADCAST_ROWS
-    rows = tokenised(docs, id_column, columns)
-    parts = [_sequences(m) for m in lengths]
+    split = F.array(*[tokens(F.col(c)) for c in columns])
+    # the generator keeps the tokens from being made again for each use
+    rows = docs.select(F.col(id_column).alias("id"), F.explode(F.array(split)).alias("split"))
+    total = sum((F.size(F.col("split")[i]) for i in range(len(columns))), F.lit(0)).cast("bigint")
+    parts = [_sequences(F.col("split")[i], m) for i in range(len(columns)) for m in lengths]
     every = F.flatten(F.array(*parts)) if parts else F.array().cast("array<string>")
     keys = distinct.select("phrase")
-    found = rows.select("id", F.explode(every).alias("phrase")).join(F.broadcast(keys) if few else keys, "phrase")
-    return found.groupBy("id", "phrase").agg(F.count(F.lit(1)).alias("f"))
+    found = rows.select("id", total.alias("dl"), F.explode(every).alias("phrase")).join(F.broadcast(keys) if few else keys, "phrase")
+    return found.groupBy("id", "phrase").agg(F.count(F.lit(1)).alias("f"), F.first("dl").alias("dl"))
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, id_column: str, columns: list[str], query_id: str, text: str) -> DataFrame:
@@ -87,10 +91,10 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_column: str, columns: li
     Null texts have no tokens but count as documents. A query without terms has no rows.
     """
     wanted = phrases(queries, query_id, text)
-    hits = phrase_hits(docs, id_column, columns, wanted)
+    hits = durable(phrase_hits(docs, id_column, columns, wanted))
     df = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     stats = F.broadcast(corpus_stats(docs, id_column, columns).select("n", "avgdl"))
-    weighted = hits.join(df, "phrase").join(doc_lengths(docs, id_column, columns), "id").join(stats)
+    weighted = hits.join(df, "phrase").join(stats)
     f = F.col("f")
     part = idf(F.col("n"), F.col("df")) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = weighted.select("id", "phrase", part.alias("part")).join(wanted.select("query_id", "phrase", "times"), "phrase")

@@ -28,11 +28,11 @@ def hash_words(text: Column) -> Column:
 def hash_embedding(rows: DataFrame, id_column: str, text_column: str, dim: int = DIM) -> DataFrame:
     """(id, bucket, weight): non-zero values of the deterministic embedding, of unit length, as float.
 
-    Counts are summed by word before hashing. A text without words has no rows; null is such a text.
+    One shuffle by id serves the counts and the norm. A text without words has no rows; null is such a text.
     """
     words = rows.select(F.col(id_column).alias("id"), F.explode(hash_words(F.col(text_column))).alias("word"))
-    words = words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
-    buckets = words.groupBy("id", (F.abs(djb2(F.col("word"))) % dim).cast("int").alias("bucket")).agg(F.sum("n").alias("n"))
+    hashed = words.select("id", (F.abs(djb2(F.col("word"))) % dim).cast("int").alias("bucket")).repartition("id")
+    buckets = hashed.groupBy("id", "bucket").agg(F.count(F.lit(1)).alias("n"))
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id")))
     return buckets.select("id", "bucket", (F.col("n") / norm).cast("float").alias("weight"))
 

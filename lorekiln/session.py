@@ -22,7 +22,6 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -30,9 +29,21 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
+#: Bytes from which a table in fewer files than there are cores is spread over them.
+SPREAD_BYTES = 2_000_000
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One table of a data directory."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """One table of a data directory.
+
+    A table of few files may hold its rows in fewer row groups than there are cores; it is spread over the cores by
+    one shuffle of the columns that are used. Large tables have files enough and are read as they lie.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    few = int(str(size)) >= SPREAD_BYTES and len(rows._jdf.inputFiles()) < min(cores, 64)
+    return rows.repartition(cores) if few else rows
 
 
 def durable(df: DataFrame) -> DataFrame:
