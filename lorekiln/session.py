@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,10 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     A table of few files may hold its rows in fewer row groups than there are cores; it is spread over the cores by
     one shuffle of the columns that are used. Large tables have files enough and are read as they lie.
     """
+    # Python workers find this package wherever the driver was started
+    found, root = spark.sparkContext.environment.get("PYTHONPATH", ""), str(Path(__file__).resolve().parents[1])
+    if root not in found.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [found, root]))
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     cores = spark.sparkContext.defaultParallelism
     size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
