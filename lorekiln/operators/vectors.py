@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekiln.session import durable
+
 DIM = 768
 
 
@@ -56,6 +58,22 @@ def cosine(x: Column, y: Column) -> Column:
     return F.when(fine, F.coalesce(F.try_divide(dot(x, y), norm), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
+def with_previous(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
+    """Adds ``before``: ``value`` of the row before in its group by ``order``, null at the first row of a group.
+
+    Rows are sorted over range partitions and looked up inside (partition, group); the last row of each is handed on
+    to the next partition that the group reaches, so one group may hold any share of the rows. Null is a group.
+    """
+    placed = durable(rows.repartitionByRange(group, *order).withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("part", group).orderBy(*order)
+    lasts = placed.groupBy("part", group).agg(F.max_by(value, F.struct(*order)).alias("last"))
+    handed = lasts.withColumn("handed", F.lag("last").over(Window.partitionBy(group).orderBy("part"))).filter("handed is not null")
+    handed = handed.select(F.col("part").alias("to_part"), F.col(group).alias("to_group"), "handed")
+    looked = placed.withColumns({"before": F.lag(value).over(inside), "nth": F.row_number().over(inside)})
+    looked = looked.join(handed, (F.col("part") == F.col("to_part")) & F.col(group).eqNullSafe(F.col("to_group")), "left")
+    return looked.withColumn("before", F.when(F.col("nth") == 1, F.col("handed")).otherwise(F.col("before"))).select(*rows.columns, "before")
+
+
 def vector_search(queries: DataFrame, rows: DataFrame, query_id: str, id_column: str, vector_column: str, k: int = 8, pass_rows: int = 16_384) -> DataFrame:
     """(query_id, id, score, rank): exact top ``k`` by cosine of every query vector against all row vectors.
 

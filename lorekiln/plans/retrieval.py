@@ -96,7 +96,10 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Cosine of every chunk's vector with that of the chunk before it in arrival order of its file."""
+    """Cosine of the vectors of chunks that repeat a chunk_index of their file with that of the one before by ord.
+
+    Most chunks repeat none and give no row; ``vector_cosine_before`` compares all neighbours of a file.
+    """
     from pyspark.sql import Window
 
     rows = load(spark, sf, "chunks").select("chunk_id", "file_id", "chunk_index", "ord", "embedding")
@@ -105,9 +108,16 @@ def vector_cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("chunk_id", F.round(vectors.cosine(F.col("embedding"), F.col("before")), 6).alias("score"))
 
 
+def vector_cosine_before(spark: SparkSession, sf: str) -> DataFrame:
+    """Cosine of every chunk's vector with that of the chunk before it in arrival order of its file, if that has one."""
+    rows = load(spark, sf, "chunks").select("chunk_id", "file_id", "ord", "embedding")
+    rows = vectors.with_previous(rows, "file_id", ["ord", "chunk_id"], "embedding").filter("before is not null")
+    return rows.select("chunk_id", F.round(vectors.cosine(F.col("embedding"), F.col("before")), 6).alias("score"))
+
+
 QUERIES = (
     query_sanitise, bm25_term_stats, bm25_corpus_stats, bm25_postings, keyword_search, keyword_phrase, hash_embedding_buckets,
-    hash_search, hybrid_search, context_for_query, vector_topk, vector_cosine_pairs,
+    hash_search, hybrid_search, context_for_query, vector_topk, vector_cosine_pairs, vector_cosine_before,
 )
 
 _SP = r"\s\x{00A0}\x{FEFF}\p{Z}"
@@ -201,5 +211,7 @@ s AS (SELECT q.vec_id AS query_id, e.vec_id, CASE WHEN len(q.v) = len(e.v) THEN
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10""",
     "vector_cosine_pairs": """WITH c AS (SELECT chunk_id, CAST(embedding AS DOUBLE[]) AS x, CAST(lag(embedding) OVER (PARTITION BY file_id, chunk_index ORDER BY ord) AS DOUBLE[]) AS y FROM chunks)
+SELECT chunk_id, round(CASE WHEN x IS NULL OR len(x) <> len(y) THEN 0 WHEN list_dot_product(x, x) = 0 OR list_dot_product(y, y) = 0 THEN 0 ELSE list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))) END, 6) AS score FROM c WHERE y IS NOT NULL""",
+    "vector_cosine_before": """WITH c AS (SELECT chunk_id, CAST(embedding AS DOUBLE[]) AS x, CAST(lag(embedding) OVER (PARTITION BY file_id ORDER BY ord, chunk_id) AS DOUBLE[]) AS y FROM chunks)
 SELECT chunk_id, round(CASE WHEN x IS NULL OR len(x) <> len(y) THEN 0 WHEN list_dot_product(x, x) = 0 OR list_dot_product(y, y) = 0 THEN 0 ELSE list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))) END, 6) AS score FROM c WHERE y IS NOT NULL""",
 }
