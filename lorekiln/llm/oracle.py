@@ -20,6 +20,11 @@ s AS (SELECT x.id AS chunk_id, y.id AS neighbour, list_cosine_similarity(x.v, y.
 r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY round(c, 12) DESC, neighbour) AS rank FROM s)
 SELECT chunk_id, rank, neighbour, round(least(c, 1), 6) AS cosine FROM r WHERE rank <= 5"""
 
+_P2_NEAREST = f"""WITH {_USABLE},
+s AS (SELECT x.id AS chunk_id, y.id AS neighbour, list_cosine_similarity(x.v, y.v) AS c FROM e x, e y WHERE x.id <> y.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY round(c, 12) DESC, neighbour) AS rank FROM s)
+SELECT chunk_id, rank, neighbour, round(least(c, 1), 6) AS cosine FROM r WHERE rank <= 5"""
+
 _P4 = r"""WITH c AS (
   SELECT chunk_id, regexp_replace(regexp_replace(regexp_replace(content, '!\[([^\n\r]*?)\]\(data:image/[^;]+;base64,[^)]+\)', '![\1]', 'gi'),
     '<img\s+[^>]*src=["'']data:image/[^;]+;base64,[^"'']+["''][^>]*>', '[image]', 'gi'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS t FROM chunks WHERE content IS NOT NULL)
@@ -38,6 +43,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _P1,
         "p2_found": _P2,
         "p2_search": _P2_SEARCH,
+        "p2_nearest": _P2_NEAREST,
         "p4_found": _P4,
         "p6_found": f"WITH {_P6} SELECT DISTINCT doc_id, item_id FROM m",
         "p6_items": f"WITH {_P6}, c AS (SELECT DISTINCT doc_id, item_id, i + unnest(range(0, 12)) AS p FROM m) SELECT item_id, count(DISTINCT doc_id) AS n_documents, count(*) AS n_words FROM c GROUP BY 1",

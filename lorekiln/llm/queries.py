@@ -41,6 +41,13 @@ def p2_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id").alias("chunk_id"), "rank", "neighbour", F.round("cosine", 6).alias("cosine"))
 
 
+def p2_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 most similar chunks of every usable chunk, exactly and with no least similarity."""
+    chunks = load(spark, sf, "chunks").select("chunk_id", "embedding")
+    found = sv.search(chunks, chunks, "chunk_id", "embedding", dim=64, k=5)
+    return found.select(F.col("id").alias("chunk_id"), "rank", "neighbour", F.round("cosine", 6).alias("cosine"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Oversized chunks, and whether their blocks fit the limit."""
     pieces = sp.oversized_pieces(load(spark, sf, "chunks"), "chunk_id", "content")
@@ -93,5 +100,5 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (p1_found, p1_groups, p2_found, p2_search, p4_found, p4_pieces, p6_found, p6_items, p6_cleaned, p7_mixture, p7_shares, p8_found)
+        for f in (p1_found, p1_groups, p2_found, p2_search, p2_nearest, p4_found, p4_pieces, p6_found, p6_items, p6_cleaned, p7_mixture, p7_shares, p8_found)
     }
