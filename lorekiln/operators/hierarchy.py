@@ -14,6 +14,8 @@ from lorekiln.session import durable
 
 #: Siblings are ordered by (bucket, id); prefix sums run inside buckets and then over at most so many of them.
 SIBLING_BUCKETS = 1_024
+#: Preorder numbers of one bucket in which ranges and nodes meet.
+RANGE_BUCKET = 64
 
 
 def _parents(links: DataFrame, parent: str, child: str) -> DataFrame:
@@ -108,8 +110,30 @@ def hierarchy(links: DataFrame, parent: str, child: str, with_paths: bool = True
 
 
 def descendants(tree: DataFrame, asked: DataFrame, id_column: str) -> DataFrame:
-    """(ancestor_id, descendant_id) for the ids in ``asked``, from the preorder ranges of ``hierarchy``."""
+    """(ancestor_id, descendant_id) for the ids in ``asked``, from the preorder ranges of ``hierarchy``.
+
+    Ranges and nodes meet in buckets of preorder numbers, so a range is compared with few nodes outside it.
+    """
     top = tree.join(asked.select(F.col(id_column).alias("node_id")).distinct(), "node_id").filter("n_descendants > 0")
     top = top.select(F.col("node_id").alias("ancestor_id"), "root_id", F.col("pre").alias("first"), (F.col("pre") + F.col("n_descendants")).alias("last"))
-    below = tree.select("root_id", F.col("node_id").alias("descendant_id"), "pre")
-    return top.join(below, "root_id").filter("pre > first and pre <= last").select("ancestor_id", "descendant_id")
+    top = top.withColumn("bucket", F.explode(F.sequence(F.expr(f"(first + 1) div {RANGE_BUCKET}"), F.expr(f"last div {RANGE_BUCKET}"))))
+    below = tree.filter("pre is not null").select("root_id", F.col("node_id").alias("descendant_id"), "pre", F.expr(f"pre div {RANGE_BUCKET}").alias("bucket"))
+    return top.join(below, ["root_id", "bucket"]).filter("pre > first and pre <= last").select("ancestor_id", "descendant_id")
+
+
+def all_descendants(links: DataFrame, parent: str, child: str) -> DataFrame:
+    """(ancestor_id, descendant_id): every node with every other node that its links lead down to.
+
+    Each node's path gives its ancestors, so no join makes a pair that is not in the result. A cycle is cut above
+    its smallest id; all of its nodes are ancestors of each other and of what lies below it. Links as in ``hierarchy``.
+    """
+    trees, rest = _climb(_parents(links, parent, child))
+    lost = durable(rest.join(_cycles(rest), "node"))
+    cut, _ = _climb(lost.select("node", F.when(F.col("node") != F.col("root"), F.col("up")).alias("up")))
+    paths = durable(_descend(trees.unionByName(cut), True).select("node", "root", "path"))
+    # the ring of a cycle: the path to the node above its smallest id
+    closing = lost.filter("node = root").select(F.col("root").alias("ring_root"), F.col("up").alias("node"))
+    rings = closing.join(paths.select("node", F.col("path").alias("ring")), "node").select(F.col("ring_root").alias("root"), "ring")
+    above = F.array_union("path", F.coalesce("ring", F.array().cast("array<string>")))
+    pairs = paths.join(rings, "root", "left").select(F.explode(above).alias("ancestor_id"), F.col("node").alias("descendant_id"))
+    return pairs.filter("ancestor_id != descendant_id")

@@ -142,3 +142,27 @@ def test_upserts(spark):
     got = {x["name_key"]: tuple(x)[1:] for x in upsert.upsert_entities(rows, ["created_ms", "entity_id"]).collect()}
     assert got["ab"] == ("1", "Ab", 1, "document", "auto", "f1", "{}", 2)
     assert set(got) == {"ab", "é", "É"}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_all_descendants_follow_the_links(spark, seed):
+    r = random.Random(seed)
+    links = [(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(36)]
+    links += [("x", "x"), ("x", "y"), ("y", "z"), (None, "z"), ("u", "v"), ("v", "w"), ("w", "u"), ("w", "t"), ("hub", "mid")] + [("mid", f"leaf{i}") for i in range(150)]
+    up = {}
+    for p, c in links:
+        if p is not None:
+            up[c] = min(up.get(c, p), p)
+    want = set()
+    for node in up:
+        at, seen = up[node], set()
+        while at is not None and at not in seen:
+            seen.add(at)
+            at = up.get(at)
+        want |= {(a, node) for a in seen - {node}}
+    frame = spark.createDataFrame(links, "p string, c string")
+    got = [tuple(x) for x in hierarchy.all_descendants(frame, "p", "c").collect()]
+    assert set(got) == want and len(got) == len(want)
+    tree = hierarchy.hierarchy(frame, "p", "c", False)
+    placed = {x["node_id"] for x in tree.collect() if x["depth"] >= 0}
+    assert {tuple(x) for x in hierarchy.descendants(tree, tree, "node_id").collect()} == {(a, b) for a, b in want if a in placed}
