@@ -21,6 +21,8 @@ from lorekiln.session import durable, hot_keys
 
 #: Bits of the verification signature: one bit of each of so many minima.
 SIGNATURE_BITS = 128
+#: Members of a class that one part holds when classes are expanded to pairs.
+PART_ROWS = 2_048
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,21 +194,44 @@ def near_duplicates(
     return members.groupBy("id").agg(F.min("rep").alias("rep")), links
 
 
-def expanded_pairs(members: DataFrame, links: DataFrame, max_copies: int = 1_000) -> DataFrame:
-    """(chunk_a, chunk_b), chunk_a < chunk_b, for members of one class or of linked classes.
+def expanded_pairs(members: DataFrame, links: DataFrame, max_copies: int | None = None) -> DataFrame:
+    """(chunk_a, chunk_b), chunk_a < chunk_b, for all members of one class or of linked classes.
 
-    A class of more than ``max_copies`` equal texts is written as pairs of its representative with each copy, and
-    stands in links to other classes by its representative alone, so that copies never make a quadratic result.
+    Every pair comes out, so a class of n members gives n * (n - 1) / 2 rows. Members of large classes are cut into
+    parts of about ``PART_ROWS`` and every two parts meet, so no task makes all pairs of a class.
+
+    Only if ``max_copies`` is given, the result is a shorter form: a larger class is written as pairs of its
+    representative with each member, and stands in links to other classes by its representative alone. Members of a
+    class have equal sets of word sequences, not equal texts, so pairs of different texts are then left out.
     """
     sized = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
     placed = durable(members.join(sized, "rep"))
-    ends = placed.filter((F.col("copies") <= max_copies) | (F.col("id") == F.col("rep"))).select("rep", "id", "copies")
-    several = ends.filter(F.col("copies") > 1)
-    within = several.select("rep", F.col("id").alias("x")).join(several.select("rep", F.col("id").alias("y")), "rep").filter("x < y").select("x", "y")
-    star = placed.filter((F.col("copies") > max_copies) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("id").alias("y"))
-    across = links.join(ends.select(F.col("rep").alias("rep_a"), F.col("id").alias("x")), "rep_a")
-    across = across.join(ends.select(F.col("rep").alias("rep_b"), F.col("id").alias("y")), "rep_b").select("x", "y")
-    return within.unionByName(star).unionByName(across).select(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b"))
+    ends, classes = placed, sized.filter(F.col("copies") > 1)
+    if max_copies is not None:
+        ends = placed.filter((F.col("copies") <= max_copies) | (F.col("id") == F.col("rep")))
+        classes = classes.filter(F.col("copies") <= max_copies)
+    met = links.select("rep_a", "rep_b").unionByName(classes.select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b")))
+    ends = ends.select("rep", "id", "copies")
+    part = F.lit(0)
+    if ends.filter(F.col("copies") > PART_ROWS).limit(1).count():
+        parts = ends.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts")).filter("parts > 1")
+        for side in ("a", "b"):
+            cut = parts.select(F.col("rep").alias(f"rep_{side}"), F.col("parts").alias(f"parts_{side}"))
+            met = met.join(cut, f"rep_{side}", "left")
+            met = met.withColumn(f"part_{side}", F.explode(F.sequence(F.lit(0), F.coalesce(f"parts_{side}", F.lit(1)) - 1)))
+        met = met.filter("rep_a != rep_b or part_a <= part_b").select("rep_a", "rep_b", "part_a", "part_b")
+        ends = ends.join(parts, "rep", "left")
+        part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")
+    else:
+        met = met.withColumns({"part_a": F.lit(0), "part_b": F.lit(0)})
+    ends = ends.select("rep", "id", part.alias("part"))
+    met = met.join(ends.select(F.col("rep").alias("rep_a"), F.col("part").alias("part_a"), F.col("id").alias("x")), ["rep_a", "part_a"])
+    met = met.join(ends.select(F.col("rep").alias("rep_b"), F.col("part").alias("part_b"), F.col("id").alias("y")), ["rep_b", "part_b"])
+    pairs = met.filter("rep_a != rep_b or part_a != part_b or x < y").select("x", "y")
+    if max_copies is not None:
+        star = placed.filter((F.col("copies") > max_copies) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("id").alias("y"))
+        pairs = pairs.unionByName(star)
+    return pairs.select(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b"))
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:

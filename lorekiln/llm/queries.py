@@ -24,9 +24,17 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Each chunk with its class of equal contents, its group of similar ones and its number of links."""
-    members, links = nd.near_duplicates(load(spark, sf, "chunks"), "chunk_id", "content", **P1)
-    return nd.duplicate_groups(members, durable(links)).withColumnRenamed("id", "chunk_id").withColumn("n_links", F.col("n_links").cast("bigint"))
+    """Each chunk with its class of equal sets of word sequences, its group of similar ones and its number of links.
+
+    A chunk with null or too short content is alone in its class and group.
+    """
+    chunks = load(spark, sf, "chunks")
+    members, links = nd.near_duplicates(chunks, "chunk_id", "content", **P1)
+    every = chunks.select(F.col("chunk_id").cast("string").alias("id")).filter("id is not null").distinct()
+    found = every.join(nd.duplicate_groups(members, durable(links)), "id", "left")
+    return found.select(
+        F.col("id").alias("chunk_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")
+    )
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -92,3 +92,24 @@ def test_components_equal_union_find(spark, seed):
         want[start] = min(seen)
     got = nd.components(spark.createDataFrame(links, "a string, b string"), "a", "b").collect()
     assert {tuple(x) for x in got} == set(want.items()) and len(got) == len(want)
+
+
+def test_large_classes_keep_every_pair(spark, monkeypatch):
+    members = [(f"a{i:04d}", "a0000") for i in range(1_001)] + [("b", "b"), ("c0", "c0"), ("c1", "c0")]
+    frame = spark.createDataFrame(members, "id string, rep string")
+    links = spark.createDataFrame([("a0000", "b", 0.8), ("a0000", "c0", 0.75)], "rep_a string, rep_b string, similarity double")
+    a = [f"a{i:04d}" for i in range(1_001)]
+    want = 1_001 * 1_000 // 2 + 3 * 1_001 + 1
+    for rows in (2_048, 300):
+        monkeypatch.setattr(nd, "PART_ROWS", rows)
+        found = nd.expanded_pairs(frame, links)
+        assert found.count() == found.distinct().count() == want and found.filter("chunk_a >= chunk_b").count() == 0
+        assert {x[0] for x in found.filter("chunk_b = 'c1'").collect()} == {*a, "c0"}
+
+
+def test_groups_have_every_chunk(spark, sf):
+    from lorekiln.llm import queries
+
+    chunks = spark.read.parquet(f"{sf}/chunks.parquet").select("chunk_id")
+    found = queries.queries()["p1_groups"](spark, sf)
+    assert found.count() == chunks.count() == found.join(chunks, "chunk_id").filter("group_id is not null").count()
