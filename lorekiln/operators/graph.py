@@ -38,16 +38,22 @@ def khop(
 
     A step multiplies by weight * confidence * gamma; a node has the greatest product and the least depth over simple
     paths. While no step exceeds 1 one row per node and level is enough, and rows under the threshold can be
-    dropped at once; otherwise simple paths are enumerated. ``both`` leaves out the start itself; the other
+    dropped at once, while the least depth is taken from all links; otherwise simple paths are enumerated. ``both`` leaves out the start itself; the other
     directions give it only through a self-link. Null ends reach nothing.
     """
     links = durable(oriented(edges, direction, types))
-    strongest = links.agg(F.max("factor")).first()[0]
+    strongest, weakest, unknown = links.agg(F.max("factor"), F.min("factor"), F.count_if(F.col("factor").isNull())).first()
     monotone = strongest is None or strongest * gamma <= 1
+    # a weak short path is dropped, but its depth counts
+    dropping = monotone and (unknown > 0 or (weakest is not None and (max(0.0, weakest) * gamma) ** max_k < threshold))
     first = starts.select(F.col(starts.columns[0]).alias("start_id")).distinct().join(links, F.col("start_id") == F.col("src"))
     level = first.select("start_id", F.col("dst").alias("node_id"), (F.col("factor") * gamma).alias("score"), F.array("start_id", "dst").alias("path"))
-    found = None
+    steps = first.select("start_id", F.col("dst").alias("node_id"))
+    found, all_steps = None, steps.withColumn("depth", F.lit(1))
     for depth in range(1, max_k + 1):
+        if depth > 1 and dropping:
+            steps = steps.join(links, F.col("node_id") == F.col("src")).filter(F.col("dst") != F.col("start_id")).select("start_id", F.col("dst").alias("node_id")).distinct()
+            all_steps = all_steps.unionByName(steps.withColumn("depth", F.lit(depth)))
         if depth > 1:
             step = level.join(links, F.col("node_id") == F.col("src"))
             if monotone:
@@ -62,6 +68,9 @@ def khop(
         found = here if found is None else found.unionByName(here)
     reached = found.groupBy("start_id", "node_id").agg(F.max("score").alias("influence"), F.min("depth").alias("depth"))
     reached = reached.filter(F.col("influence") >= threshold)
+    if dropping:
+        least = all_steps.groupBy("start_id", "node_id").agg(F.min("depth").alias("depth"))
+        reached = reached.drop("depth").join(least, ["start_id", "node_id"])
     return reached.filter("start_id != node_id") if direction == "both" else reached
 
 

@@ -166,3 +166,11 @@ def test_all_descendants_follow_the_links(spark, seed):
     tree = hierarchy.hierarchy(frame, "p", "c", False)
     placed = {x["node_id"] for x in tree.collect() if x["depth"] >= 0}
     assert {tuple(x) for x in hierarchy.descendants(tree, tree, "node_id").collect()} == {(a, b) for a, b in want if a in placed}
+
+
+def test_depth_counts_weak_short_paths(spark):
+    rows = [("s", "x", "DEPENDS_ON", 0.05, 1.0), ("s", "y", "DEPENDS_ON", 1.0, 1.0), ("y", "x", "DEPENDS_ON", 1.0, 1.0), ("s", "s", "DEPENDS_ON", 1.0, 1.0)]
+    edges = spark.createDataFrame(rows, "source_id string, target_id string, edge_type string, weight double, confidence double")
+    starts = spark.createDataFrame([("s",)], "id string")
+    found = {x["node_id"]: (round(x["influence"], 9), x["depth"]) for x in graph.khop(edges, starts, "outgoing").collect()}
+    assert found == {"x": (0.36, 1), "y": (0.6, 1), "s": (0.6, 1)}
