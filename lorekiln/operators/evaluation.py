@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekiln.session import durable
+
 
 def _key(c: Column) -> Column:
     return F.lower(F.trim(c.cast("string")))
@@ -69,12 +71,18 @@ def latency_stats(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Count, extremes, mean and nearest-rank percentiles of each group, to 2 places.
 
     The place of a percentile p is min(n - 1, floor(p * n)) from 0. A group may be of any size: values are counted
-    by distinct value first and percentiles found on running counts.
+    by distinct value first and percentiles found on running counts, inside range partitions of (group, value) and
+    then over these.
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(group)
-    placed = counts.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(every))
+    counts = durable(counts.repartitionByRange(group, value).withColumn("part", F.spark_partition_id()))
+    # a row a group and partition
+    sums = counts.groupBy(group, "part").agg(F.sum("c").alias("held"))
+    earlier = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(group).alias("of_group"), F.col("part").alias("of_part"), F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("base"), F.sum("held").over(Window.partitionBy(group)).alias("n"))
+    upto = Window.partitionBy(group, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("inner", F.sum("c").over(upto)).join(sums, (F.col("part") == F.col("of_part")) & F.col(group).eqNullSafe(F.col("of_group")))
+    placed = placed.withColumn("upto", F.col("base") + F.col("inner"))
 
     def percentile(p: int) -> Column:
         place = F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n") / 100))

@@ -1,6 +1,7 @@
 """Metrics by hand."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,3 +50,21 @@ def test_cosine_and_search(spark):
 @pytest.mark.parametrize(("mode", "want"), [("zero_token", (0, 0.0)), ("openai_embedding_only", (250_001, 0.005)), ("llm_graph_extract", (1_000_004, 0.3))])
 def test_cost(spark, mode, want):
     assert tuple(spark.range(1).select(*evaluation.token_cost(F.lit(1_000_001), mode)).first()) == want
+
+
+def test_latency_sorts_no_group_in_one_task(spark):
+    rows = spark.range(3_000).select(F.when(F.col("id") % 3 > 0, "hot").alias("g"), (F.col("id") * 0.5).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        stats = evaluation.latency_stats(rows, "g", "v")
+        got = {x["g"]: (x["n"], x["p50"], x["p95"], x["p99"]) for x in stats.collect()}
+        plan = stats._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for g in ("hot", None):
+        values = [i * 0.5 for i in range(3_000) if (i % 3 > 0) == (g == "hot")]
+        want[g] = (len(values), *(values[min(len(values) - 1, p * len(values) // 100)] for p in (50, 95, 99)))
+    assert got == want and re.search(r"windowspecdefinition\(g#\d+, part#\d+, v#\d+", plan)
