@@ -103,15 +103,18 @@ def _link(text: str, target: str) -> str:
 
 
 def segments(text: str) -> list[Segment]:
-    """The page's segments. Frontmatter, fenced code and headings are left out."""
-    text = _FENCE.sub("\n", _FRONTMATTER.sub("", text.replace("\r\n", "\n")))
+    """The page's segments: frontmatter, text with headings, and fenced code, whose words are of no kind."""
+    text = text.replace("\r\n", "\n")
+    out: list[Segment] = []
+    if front := _FRONTMATTER.match(text):
+        out += _front(front[0])
+        text = text[front.end() :]
+    code = [w for m in _FENCE.finditer(text) for w in WORD.findall(m[0].lower())]
+    text = _FENCE.sub("\n", text)
     if "<" in text:
         text = _OTHER_TAG.sub(" ", _TAG.sub("\n", _ANCHOR.sub(lambda m: _link(m[2], m[1] or ""), text)))
     text = _HASHTAG.sub("\x01", _LINK.sub(lambda m: _link(m[1] or m[3] or "", m[2] or m[4] or ""), text))
-    out: list[Segment] = []
     for block in _blocks(text):
-        if _HEADING.match(block):
-            continue
         found = []
         for sentence in _STOPS.split(block):
             words = WORD.findall(_TARGET.sub(" ", sentence).lower())
@@ -130,6 +133,23 @@ def segments(text: str) -> list[Segment]:
                 if s.kind == "item":
                     s.kind = "none"
         out += found
+    return [*out, Segment(code, "none", False)] if code else out
+
+
+def _front(text: str) -> list[Segment]:
+    """Keys and single values are of no kind, the elements of lists are segments like any other."""
+    out = []
+    for line in text.split("\n"):
+        key, inner = "", line
+        if m := re.match(r"\s*([^\s:\[\]-][^:\[\]]*):(.*)", line):
+            key, inner = m[1], m[2].strip()
+            if not inner.startswith("[") and inner.count(",") < RUN_ITEMS - 1:
+                key, inner = line, ""
+        if words := WORD.findall(key.lower()):
+            out.append(Segment(words, "none", False))
+        for part in inner.split(","):
+            if words := WORD.findall(part.lower()):
+                out.append(Segment(words, "clause" if _clause(words) else "item" if len(words) <= ITEM_WORDS else "loose", False))
     return out
 
 
@@ -140,12 +160,13 @@ def _listed(sentence: str, words: list[str]) -> bool:
 
 
 def measured(text: str, limit: float = 0.5) -> tuple[int, int, float]:
-    """(words, stuffed words, share) of a page; the share leaves out labels beside sentences.
+    """(words, stuffed words, share) of a page, all of its words counted.
 
     The automaton is built only where the share could pass ``limit`` with every candidate word covered.
     """
-    parts = [s for s in segments(text) if s.kind != "none"]
-    total = sum(len(s.words) + s.target for s in parts if s.kind != "clause") + sum(len(s.words) for s in parts if s.kind == "clause")
+    every = segments(text)
+    parts = [s for s in every if s.kind != "none"]
+    total = sum(len(s.words) + s.target * (s.kind != "clause") for s in every)
     if not total:
         return 0, 0, 0.0
     listed = [False] * len(parts)
@@ -197,7 +218,7 @@ def _covered(words: list[str], ends: list[int]) -> int:
     return covered
 
 
-def stuffed_pages(documents: DataFrame, id_column: str, text_column: str, limit: float = 0.5, min_words: int = 20) -> DataFrame:
+def stuffed_pages(documents: DataFrame, id_column: str, text_column: str, limit: float = 0.5, min_words: int = 1) -> DataFrame:
     """(id, n_words, n_stuffed, share): pages of at least ``min_words`` words of which more than ``limit`` is stuffed.
 
     A link beside a sentence, a table or list of sentences and a links section below a note do not count. Null,

@@ -67,3 +67,18 @@ def test_rows(spark):
     frame = spark.createDataFrame(rows, "doc long, body string").withColumns({"id": F.lit("clash"), "text": F.lit(0), "share": F.lit(1)})
     assert sorted(r["id"] for r in sf.stuffed_pages(frame, "doc", "body").collect()) == ["1", "1", "6"]
     assert sf.stuffed_pages(frame.limit(0), "doc", "body").count() == 0
+
+
+WHOLE = {
+    "headings": ("\n\n".join(f"## {R.choice(['buy shoes', 'cheap shoes', 'shoes sale'])}" for _ in range(30)), True),
+    "tags in frontmatter": ("---\ntitle: Page\ntags: [" + ", ".join(R.choice(NOUNS) for _ in range(40)) + "]\n---\nThe page is kept for the team.", True),
+    "dashed tags": ("---\ntags:\n" + "\n".join(f"  - {R.choice(NOUNS)}" for _ in range(40)) + "\n---\n", True),
+    "few keywords": ("buy lamp, " * 7 + "buy", True),
+    "code with few links": ("```\n" + "for row in rows: total = total + row\n" * 20 + "```\n" + "\n".join(f"- [{n}](https://{n}.test/a)" for n in NOUNS[:12]), False),
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_all_words_of_the_page_count(spark, name):
+    text, found = WHOLE[name]
+    assert sf.stuffed_pages(spark.createDataFrame([(1, text)], "doc long, body string"), "doc", "body").count() == found
