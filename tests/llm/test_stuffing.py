@@ -82,3 +82,29 @@ WHOLE = {
 def test_all_words_of_the_page_count(spark, name):
     text, found = WHOLE[name]
     assert sf.stuffed_pages(spark.createDataFrame([(1, text)], "doc long, body string"), "doc", "body").count() == found
+
+
+FOREIGN = {
+    "finnish": "Yhdyskäytävä säilyttää tilauksen, kunnes välittäjä on allekirjoittanut sen. Jos kopio myöhästyy, ryhmä avaa tiketin ja odottaa vastausta. Kukaan ei lue vanhaa tilannekuvaa sen jälkeen, koska se on jo arkistoitu. ",
+    "turkish": "Ağ geçidi, aracı imzalayana kadar siparişi saklar. Kopya gecikirse ekip bir kayıt açar ve yanıt bekler. Eski anlık görüntüyü bundan sonra kimse okumaz, çünkü arşivlenmiştir. ",
+    "polish": "Brama przechowuje zamówienie, dopóki pośrednik go nie podpisze. Jeśli replika się spóźnia, zespół otwiera zgłoszenie i czeka na odpowiedź. Nikt nie czyta potem starej migawki, ponieważ została zarchiwizowana. ",
+    "chinese": "网关会一直保留订单，直到经纪人签字为止。如果副本迟到，团队会开一张工单，然后等待答复。之后没有人再读旧快照，因为它已经归档，并且只在审计时打开。",
+    "one shape": "The gateway must log its ticket before the gateway starts. The broker must log its parcel before the broker starts. The ledger must log its digest before the ledger starts. ",
+}
+
+
+@pytest.mark.parametrize("times", [1, 4])
+@pytest.mark.parametrize("name", sorted(FOREIGN))
+def test_prose_of_any_language_is_no_spam(name, times):
+    assert sf.measured(FOREIGN[name] * times, 0.0)[2] <= 0.5
+
+
+@pytest.mark.parametrize("name", sorted(SPAM))
+def test_nothing_is_found_without_covered_characters(monkeypatch, name):
+    monkeypatch.setattr(sf, "repeat_lengths", lambda symbols, least: [0] * len(symbols))
+    assert sf.measured(SPAM[name])[2] == 0.0
+
+
+def test_spam_of_another_language_is_found():
+    words = ["lamppu", "halpa", "osta", "paras"]
+    assert sf.measured(FOREIGN["finnish"] + "\n\n" + " ".join(R.choice(words) for _ in range(200)))[2] > 0.5
