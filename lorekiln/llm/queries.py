@@ -51,8 +51,7 @@ def p2_search(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_nearest(spark: SparkSession, sf: str) -> DataFrame:
     """The 5 most similar chunks of every usable chunk, exactly and with no least similarity."""
-    chunks = load(spark, sf, "chunks").select("chunk_id", "embedding")
-    found = sv.search(chunks, chunks, "chunk_id", "embedding", dim=64, k=5)
+    found = sv.most_similar(load(spark, sf, "chunks"), "chunk_id", "embedding", dim=64, k=5)
     return found.select(F.col("id").alias("chunk_id"), "rank", "neighbour", F.round("cosine", 6).alias("cosine"))
 
 
