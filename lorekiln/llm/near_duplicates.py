@@ -54,25 +54,22 @@ def _longs(values: np.ndarray) -> pa.Array:
 
 
 def signatures(rows: DataFrame, width: int, min_words: int, bands: int, depth: int) -> DataFrame:
-    """(id, key_a, key_b, sign_a, sign_b, bands) for each (id, text) row with at least ``min_words`` words.
+    """(id, text_hash, key_a, key_b, sign_a, sign_b, bands) for each (id, text_hash, text) row of ``min_words`` or more words.
 
     key_*: 128-bit hash of the set of word sequences. sign_*: one bit of each of 128 minima. bands: a hash of
-    each band of ``depth`` minima. With ``bands`` 0 only the id and the keys are made.
+    each band of ``depth`` minima.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            lists = [words_of(t) for t in batch.column(1).to_pylist()]
+            lists = [words_of(t) for t in batch.column(2).to_pylist()]
             kept = [i for i, w in enumerate(lists) if len(w) >= max(min_words, width)]
             if not kept:
                 continue
             values, owner = _distinct(*shingles([lists[i] for i in kept], width, hashes))
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             keys = [np.add.reduceat(mixed(values + np.uint64(c)), starts) for c in (1, 0x5851F42D4C957F2D)]
-            if not bands:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), _longs(keys[0]), _longs(keys[1])], names=["id", "key_a", "key_b"])
-                continue
             low = _minima(values, starts, max(SIGNATURE_BITS, bands * depth))
             bits = np.packbits((mixed(low[:, :SIGNATURE_BITS].astype(np.uint64)) & np.uint64(1)).astype(np.uint8), axis=1)
             signs = np.ascontiguousarray(bits).view(np.uint64)
@@ -83,10 +80,11 @@ def signatures(rows: DataFrame, width: int, min_words: int, bands: int, depth: i
                     acc = mixed(acc * np.uint64(0x9E3779B97F4A7C15) + low[:, k])
                 band[:, j] = acc
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(kept) * bands + 1, bands, dtype=np.int32)), _longs(band.ravel()))
-            columns = [batch.column(0).take(pa.array(kept)), _longs(keys[0]), _longs(keys[1]), _longs(signs[:, 0]), _longs(signs[:, 1]), listed]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "key_a", "key_b", "sign_a", "sign_b", "bands"])
+            known = [batch.column(i).take(pa.array(kept)) for i in (0, 1)]
+            columns = [*known, _longs(keys[0]), _longs(keys[1]), _longs(signs[:, 0]), _longs(signs[:, 1]), listed]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "key_a", "key_b", "sign_a", "sign_b", "bands"])
 
-    return rows.mapInArrow(run, "id string, key_a long, key_b long" + ", sign_a long, sign_b long, bands array<long>" * bool(bands))
+    return rows.mapInArrow(run, "id string, text_hash long, key_a long, key_b long, sign_a long, sign_b long, bands array<long>")
 
 
 def _bucket_pairs(reps: DataFrame, most_bits: int) -> DataFrame:
@@ -161,37 +159,39 @@ def near_duplicates(
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal texts and links between similar ones.
 
-    Returns ``members`` (id, rep) with one row per text of at least ``min_words`` words, rep being the smallest id
-    with the same set of ``width``-word sequences, and ``links`` (rep_a, rep_b, similarity), rep_a < rep_b, for
-    representatives whose sets share at least ``threshold`` of their union, checked exactly.
+    Returns ``members`` (id, rep) with one row per text of at least ``min_words`` words, rep being the number of the
+    class of texts with the same set of ``width``-word sequences, and ``links`` (rep_a, rep_b, similarity), rep_a <
+    rep_b, for classes whose sets share at least ``threshold`` of their union, checked exactly.
 
     Banding finds a pair of similarity s with probability 1 - (1 - s^depth)^bands: 0.9986 at 0.7, 0.999997 at 0.8.
     The signature then drops pairs that lie more than 3.5 standard deviations under the threshold.
-    Null, empty and short texts are in no class. Ids are compared as strings; a repeated id counts
-    once, with different texts as a member of the class of smallest rep. Other columns, whatever their names, are ignored. An empty table gives empty results.
+    Null, empty and short texts are in no class. Ids are compared as strings; an id with different texts is a member
+    of the class of each, a repeated row counts once. Other columns, whatever their names, are ignored. An empty table
+    gives empty results.
     """
-    texts = rows.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text"))
+    text = F.col(text_column)
+    texts = rows.select(F.col(id_column).cast("string").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     texts = texts.filter(F.col("id").isNotNull() & (F.length("text") >= 2 * min_words - 1))
-    signed = signatures(texts, width, min_words, bands, depth)
-    # The class's row with the smallest id stands for it; partial aggregation collapses copies before the shuffle.
-    reps = signed.groupBy("key_a", "key_b").agg(F.min("id").alias("id"), F.first("sign_a").alias("sign_a"), F.first("sign_b").alias("sign_b"), F.first("bands").alias("bands"))
-    reps = durable(reps).withColumn("n", F.monotonically_increasing_id())
-    names = reps.select("n", "id", "key_a", "key_b")
+    # The one pass over all texts; what follows reads its few numbers a text.
+    signed = durable(signatures(texts, width, min_words, bands, depth))
+    # A row with the smallest id stands for its class; partial aggregation collapses copies before the shuffle.
+    first = F.min(F.struct("id", "text_hash")).alias("first")
+    reps = signed.groupBy("key_a", "key_b").agg(first, F.first("sign_a").alias("sign_a"), F.first("sign_b").alias("sign_b"), F.first("bands").alias("bands"))
+    reps = durable(reps.select("first.*", "key_a", "key_b", "sign_a", "sign_b", "bands")).withColumn("n", F.monotonically_increasing_id())
+    names = reps.select("n", "key_a", "key_b")
 
     spread = 2 * math.sqrt((1 + threshold) / 2 * (1 - threshold) / 2 / SIGNATURE_BITS)
     most_bits = math.floor(SIGNATURE_BITS * (1 - (1 + max(0.0, threshold - 3.5 * spread)) / 2))
     pairs = durable(_bucket_pairs(reps.select("n", "sign_a", "sign_b", "bands"), most_bits))
-    used = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct().join(names.select("n", "id"), "n")
-    grams = durable(_sets(texts.join(used, "id").dropDuplicates(["n"]).select("n", "text"), width))
+    used = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct().join(reps.select("n", "id", "text_hash"), "n")
+    # an id may hold several texts: the hash tells which one stands for the class
+    grams = durable(_sets(texts.join(used, ["id", "text_hash"]).dropDuplicates(["n"]).select("n", "text"), width))
     held = pairs.join(grams.select(F.col("n").alias("a"), F.col("grams").alias("grams_a")), "a")
     held = held.join(grams.select(F.col("n").alias("b"), F.col("grams").alias("grams_b")), "b")
     agreed = _agreeing(held.select("a", "b", "grams_a", "grams_b"), threshold)
-    links = agreed.join(names.select(F.col("n").alias("a"), F.col("id").alias("id_a")), "a")
-    links = links.join(names.select(F.col("n").alias("b"), F.col("id").alias("id_b")), "b")
-    links = links.select(F.least("id_a", "id_b").alias("rep_a"), F.greatest("id_a", "id_b").alias("rep_b"), "similarity")
-    # Membership needs a second, narrow pass over the texts: id and class key only.
-    members = signatures(texts, width, min_words, 0, 0).join(names.select("key_a", "key_b", F.col("id").alias("rep")), ["key_a", "key_b"]).select("id", "rep")
-    return members.groupBy("id").agg(F.min("rep").alias("rep")), links
+    links = agreed.select(F.least("a", "b").alias("rep_a"), F.greatest("a", "b").alias("rep_b"), "similarity")
+    members = signed.select("id", "key_a", "key_b").join(names.select("key_a", "key_b", F.col("n").alias("rep")), ["key_a", "key_b"])
+    return members.select("id", "rep").distinct(), links
 
 
 def expanded_pairs(members: DataFrame, links: DataFrame, max_copies: int | None = None) -> DataFrame:
@@ -231,7 +231,8 @@ def expanded_pairs(members: DataFrame, links: DataFrame, max_copies: int | None
     if max_copies is not None:
         star = placed.filter((F.col("copies") > max_copies) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("id").alias("y"))
         pairs = pairs.unionByName(star)
-    return pairs.select(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b"))
+    # an id with several texts may meet another, or itself, more than once
+    return pairs.filter("x != y").select(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b")).distinct()
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -259,9 +260,15 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def duplicate_groups(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, class_id, group_id, n_links): one row per text, with its class, its component and its class's links."""
+    """(id, class_id, group_id, n_links): one row per id, with its class, its component and its class's links.
+
+    A class has the name of its smallest id, a group that of its smallest class. An id in several classes stands in
+    the one of the smallest name.
+    """
+    classes = members.groupBy("rep").agg(F.min("id").alias("class_id"))
     ends = links.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    roots = components(links, "rep_a", "rep_b").select(F.col("node").alias("rep"), F.col("root").alias("group_id"))
-    about = roots.join(ends, "rep")
-    out = members.join(about, "rep", "left")
-    return out.select("id", F.col("rep").alias("class_id"), F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    linked = durable(components(links, "rep_a", "rep_b").withColumnRenamed("node", "rep").join(ends, "rep").join(classes, "rep"))
+    named = linked.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    about = classes.join(linked.join(named, "root").select("rep", "group_id", "n_links"), "rep", "left")
+    out = members.join(about, "rep").select("id", F.struct("class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")).alias("c"))
+    return out.groupBy("id").agg(F.min("c").alias("c")).select("id", "c.*")

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-_P1 = r"""WITH w AS (SELECT chunk_id AS id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM chunks WHERE content IS NOT NULL),
+_SHARES = r"""w AS (SELECT chunk_id AS id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM chunks WHERE content IS NOT NULL),
 s AS MATERIALIZED (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 20),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
-b AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.id < y.id GROUP BY ALL)
-SELECT a AS chunk_a, b AS chunk_b FROM b JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.n + y.n - c) >= 0.7 - 1e-12"""
+b AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.id < y.id GROUP BY ALL)"""
+
+_P1 = f"WITH {_SHARES} SELECT a AS chunk_a, b AS chunk_b FROM b JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.n + y.n - c) >= 0.7 - 1e-12"
+
+_P1_GROUPS = f"""WITH RECURSIVE {_SHARES},
+p AS MATERIALIZED (SELECT a, b, c = x.n AND c = y.n AS same FROM b JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.n + y.n - c) >= 0.7 - 1e-12),
+k AS MATERIALIZED (SELECT chunk_id AS id, least(chunk_id, coalesce(min(a), chunk_id)) AS class_id FROM chunks LEFT JOIN p ON b = chunk_id AND same GROUP BY chunk_id),
+l AS (SELECT DISTINCT x.class_id AS u, y.class_id AS v FROM p JOIN k x ON x.id = a JOIN k y ON y.id = b WHERE x.class_id <> y.class_id),
+t AS MATERIALIZED (SELECT u, v FROM l UNION SELECT v, u FROM l),
+r AS (SELECT u AS node, u AS root FROM t UNION SELECT t.v, r.root FROM r JOIN t ON t.u = r.node),
+g AS (SELECT node, min(root) AS root FROM r GROUP BY 1),
+d AS (SELECT u, count(*) AS n FROM t GROUP BY 1)
+SELECT id AS chunk_id, class_id, coalesce(g.root, class_id) AS group_id, coalesce(d.n, 0) AS n_links FROM k LEFT JOIN g ON g.node = class_id LEFT JOIN d ON d.u = class_id"""
 
 _USABLE = "e AS MATERIALIZED (SELECT chunk_id AS id, ord, CAST(embedding AS DOUBLE[]) AS v FROM chunks WHERE len(embedding) = 64 AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0)"
 
@@ -41,6 +52,7 @@ m AS (SELECT DISTINCT d.id AS doc_id, t.id AS item_id, d.i FROM (SELECT * FROM g
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
+        "p1_groups": _P1_GROUPS,
         "p2_found": _P2,
         "p2_search": _P2_SEARCH,
         "p2_nearest": _P2_NEAREST,

@@ -14,7 +14,6 @@ def test_same(spark, sf, duck, name):
 
 
 COLUMNS = {
-    "p1_groups": ["chunk_id", "class_id", "group_id", "n_links"],
     "p4_pieces": ["chunk_id", "file_id", "heading_path", "chunk_index", "piece", "content"],
     "p6_cleaned": ["doc_id", "text", "removed_words", "dropped"],
     "p7_mixture": ["recipe", "doc_id", "source", "n_tokens", "repeats"],

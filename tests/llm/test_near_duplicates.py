@@ -113,3 +113,14 @@ def test_groups_have_every_chunk(spark, sf):
     chunks = spark.read.parquet(f"{sf}/chunks.parquet").select("chunk_id")
     found = queries.queries()["p1_groups"](spark, sf)
     assert found.count() == chunks.count() == found.join(chunks, "chunk_id").filter("group_id is not null").count()
+
+
+@pytest.mark.parametrize("turn", [False, True])
+def test_an_id_of_two_texts_keeps_the_links_of_both(spark, turn):
+    base, other = " ".join(f"q{i}" for i in range(40)), " ".join(f"z{i}" for i in range(40))
+    rows = [("a", base), ("a", other), ("b", base.replace("q39", "end")), ("c", other), ("d", other + " more")]
+    rows = [rows[1], rows[0], *rows[2:]] if turn else rows
+    members, links = nd.near_duplicates(frame(spark, rows), "cid", "body", 0.7, 3)
+    assert sorted(map(tuple, nd.expanded_pairs(members, links).collect())) == [("a", "b"), ("a", "c"), ("a", "d"), ("c", "d")]
+    groups = {r["id"]: r["group_id"] for r in nd.duplicate_groups(members, links).collect()}
+    assert sorted(groups) == ["a", "b", "c", "d"] and groups["a"] == "a"
