@@ -13,8 +13,6 @@ from lorekiln.operators.ingest import ingest
 from lorekiln.sources import vault
 from lorekiln.sources.store import Store
 
-COLUMNS = ["content", "contextualized_content"]
-
 
 class Engine:
     """Search, notes and graph of one vault. Results are DataFrames; a missing entity gives suggestions."""
@@ -25,10 +23,6 @@ class Engine:
     def _table(self, name: str) -> DataFrame:
         return self.store.read(name)
 
-    def _indexed(self) -> DataFrame:
-        """Chunks as they are indexed: without a context the second column repeats the content."""
-        return self._table("chunks").withColumn("contextualized_content", F.coalesce("contextualized_content", "content"))
-
     def _asked(self, query: str) -> DataFrame:
         return self.spark.createDataFrame([(0, query)], "query_id int, text string")
 
@@ -39,8 +33,12 @@ class Engine:
 
     def _hybrid(self, query: str, k: int) -> DataFrame:
         pool = self.config.pool
-        keyword = lexical.keyword_search(self._indexed(), self._asked(query), "chunk_id", COLUMNS, "query_id", "text", "ord", pool)
-        return fusion.rrf([keyword, self._nearest(query, pool)], k, self.config.k_rrf)
+        return fusion.rrf([self._keyword(query, pool), self._nearest(query, pool)], k, self.config.k_rrf)
+
+    def _keyword(self, query: str, k: int) -> DataFrame:
+        """On the stored index: neither texts nor other terms are read."""
+        order = self._table("chunks").select(F.col("chunk_id").alias("id"), F.col("ord").alias("tie"))
+        return lexical.index_search(self._table("postings"), self._table("doc_stats"), self._asked(query), "query_id", "text", order, k)
 
     def _nearest(self, query: str, k: int) -> DataFrame:
         vector = [float(x) for x in HashProvider(self.config.dim)([query])[0]]
@@ -51,7 +49,7 @@ class Engine:
         return self._found(self._hybrid(query, k))
 
     def keyword_search(self, query: str, k: int = 8) -> DataFrame:
-        return self._found(lexical.keyword_search(self._indexed(), self._asked(query), "chunk_id", COLUMNS, "query_id", "text", "ord", k))
+        return self._found(self._keyword(query, k))
 
     def similar_notes(self, query: str, k: int = 8) -> DataFrame:
         return self._found(self._nearest(query, k))
@@ -61,8 +59,10 @@ class Engine:
         return fusion.context_blocks(self._hybrid(query, 15), docs.select(F.col("chunk_id").alias("id"), "path", "heading_path", "content"), max_tokens)
 
     def graph_hybrid_search(self, query: str, k: int = 8) -> DataFrame:
+        """Every found chunk with its fields, once for each of up to five related entity rows, or once without any."""
         tables = [self._table(t) for t in ("entity_chunk_map", "entities", "files", "edges")]
-        return graph.related_entities(self._hybrid(query, k).select("query_id", "id", "rank"), *tables)
+        found = self._found(self._hybrid(query, k)).withColumnRenamed("chunk_id", "id")
+        return graph.related_entities(found, *tables).withColumnRenamed("id", "chunk_id").orderBy("rank", "nth")
 
     def read_note(self, path: str) -> DataFrame:
         return vault.read_note(self.spark, self.config.vault_dir, path)
@@ -96,10 +96,14 @@ class Engine:
 
     def detect_conflicts(self, entity_name: str) -> DataFrame:
         me = self._entity(entity_name).select(F.col("entity_id").alias("me"))
-        rows = graph.conflicts(self._table("edges"), self._table("entities"), self._table("files"))
-        rows = rows.join(me, (F.col("a_entity_id") == F.col("me")) | (F.col("b_entity_id") == F.col("me")))
-        other = [F.when(F.col("a_entity_id") == F.col("me"), F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"with_{c}") for c in ("name", "type", "path")]
-        return rows.select(*other, "edge_type", "confidence").orderBy(F.desc("confidence"), "with_name")
+        pairs, out = graph.conflicts(self._table("edges"), self._table("entities"), self._table("files")), None
+        # both orientations as equi-joins; a link of an entity with itself comes once
+        for mine, other in (("a", "b"), ("b", "a")):
+            rows = pairs.join(me, F.col(f"{mine}_entity_id") == F.col("me"))
+            rows = rows if mine == "a" else rows.filter("a_entity_id <> b_entity_id")
+            rows = rows.select(*[F.col(f"{other}_{c}").alias(f"with_{c}") for c in ("name", "type", "path")], "edge_type", "confidence")
+            out = rows if out is None else out.unionByName(rows)
+        return out.orderBy(F.desc("confidence"), "with_name")
 
     def get_entity_lineage(self, entity_name: str, max_depth: int = 4) -> DataFrame:
         if not 1 <= max_depth <= 6:
@@ -112,3 +116,28 @@ class Engine:
     def find_owner(self, entity_name: str) -> DataFrame:
         me = self._entity(entity_name).select("entity_id", "name")
         return me.join(graph.owners(self._table("edges"), self._table("entities")), "entity_id", "left").select("name", "owner", "confidence")
+
+    def answer(self, tool: str, entity_name: str, **options: object) -> dict:
+        """What one of the four entity tools says of one entity: a small record, for a single caller.
+
+        ``found`` False with up to five ``suggestions`` if there is no such entity; else the entity, the rows of the
+        tool and what goes with them: their number, nested children for a lineage, the size of the graph for an owner.
+        """
+        tools = {"impact_analysis": self.impact_analysis, "detect_conflicts": self.detect_conflicts, "get_entity_lineage": self.get_entity_lineage, "find_owner": self.find_owner}
+        files = self._table("files").select("file_id", "path")
+        me = self._entity(entity_name).join(files, "file_id", "left").select("entity_id", "name", "type", "path").orderBy("entity_id").first()
+        if me is None:
+            names = self.suggestions(entity_name).join(self._table("entities").select("entity_id", "type"), "entity_id").orderBy("name").collect()
+            return {"found": False, "suggestions": [{"name": r["name"], "type": r["type"]} for r in names]}
+        rows = [r.asDict() for r in tools[tool](entity_name, **options).collect()]
+        out = {"found": True, "entity": me.asDict(), "count": len(rows), "rows": rows}
+        if tool == "get_entity_lineage":
+            nodes = {r["node_id"]: r | {"children": []} for r in rows}
+            for r in nodes.values():
+                if r["parent_id"] is not None:
+                    nodes[r["parent_id"]]["children"].append(r)
+            out["tree"] = nodes.get(me["entity_id"])
+        if tool == "find_owner":
+            out["has_owner"] = any(r["owner"] is not None for r in rows)
+            out["graph"] = {"entities": self._table("entities").count(), "edges": self._table("edges").count()}
+        return out

@@ -35,7 +35,8 @@ def _sections(lines: Column) -> Column:
 
 def heading_sections(text: Column) -> Column:
     """array<struct<path, content>>: the heading path and the trimmed lines below it, one for each heading."""
-    return _sections(F.split(body(without_inline_images(text)), r"\r?\n"))
+    # the lambda binds the lines, which would be split again for each heading
+    return F.flatten(F.transform(F.array(F.split(body(without_inline_images(text)), r"\r?\n")), _sections))
 
 
 def split_long(text: Column, limit: int = MAX_CHARS, overlap: int = OVERLAP_CHARS, trim: bool = True) -> Column:

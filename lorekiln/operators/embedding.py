@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Provider = Callable[[list[str]], list[list[float]]]
+#: Gives for a document (its window) and a chunk the context that the chunk stands in, or nothing.
+Contextualizer = Callable[[str, str], str | None]
 HASH_MODEL = "hash-djb2"
 _NOT_WORD = re.compile(r"[^\w\s]")
 
@@ -26,8 +28,11 @@ class HashProvider:
     def bucket(self, word: str) -> int:
         if word not in self.known:
             h = 5381
-            for c in word:
-                h = (h * 33 + ord(c)) & 0xFFFFFFFF
+            # hashed in UTF-16 units, as the index does
+            for unit in np.frombuffer(word.encode("utf-16-le", "surrogatepass"), dtype="<u2").tolist():
+                h = (h * 33 + unit) & 0xFFFFFFFF
+            if len(self.known) >= 500_000:
+                self.known.clear()
             self.known[word] = abs(h - (1 << 32) if h >> 31 else h) % self.dim
         return self.known[word]
 
@@ -77,3 +82,26 @@ def context_window(document: F.Column, limit: int = 12_000) -> F.Column:
     half = limit // 2
     short = F.concat(F.substring(document, 1, half), F.lit("\n\n[…]\n\n"), F.right(document, F.lit(half)))
     return F.when(F.length(document) <= limit, document).otherwise(short)
+
+
+def contextualized(chunks: DataFrame, notes: DataFrame, contextualizer: Contextualizer) -> DataFrame:
+    """``chunks`` with ``contextualized_content``: the context of each in its note, a blank line, its content.
+
+    ``chunks`` (chunk_id, file_id, content, ...), ``notes`` (file_id, content). Null where the contextualizer fails or
+    has nothing to say; a failure concerns its chunk alone.
+    """
+    windows = notes.select("file_id", context_window(F.col("content")).alias("document"))
+    rows = chunks.select("chunk_id", "file_id", "content").join(windows, "file_id").select("chunk_id", "document", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for document, content in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                try:
+                    context = (contextualizer(document, content) or "").strip()
+                except Exception:  # noqa: BLE001 - whatever fails remotely, the chunk is indexed without context
+                    context = ""
+                out.append(f"{context}\n\n{content}" if context else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["chunk_id", "contextualized_content"])
+
+    return chunks.join(rows.mapInArrow(run, "chunk_id string, contextualized_content string"), "chunk_id", "left")

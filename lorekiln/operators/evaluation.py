@@ -54,6 +54,29 @@ def set_metrics(retrieved: DataFrame, truth: DataFrame, queries: DataFrame) -> D
     return rows.select("query_id", "precision", "recall", f1.alias("f1"))
 
 
+def any_hit(retrieved: DataFrame, truth: DataFrame, queries: DataFrame, empty_agrees: bool = True) -> DataFrame:
+    """(query_id, hit): whether any true id was retrieved, ids compared without case and blanks.
+
+    A query without truth is a hit if nothing was retrieved either, unless ``empty_agrees`` is off.
+    """
+    r = retrieved.select("query_id", _key(F.col("id")).alias("key")).distinct().withColumn("r", F.lit(1))
+    t = truth.select("query_id", _key(F.col("id")).alias("key")).distinct().withColumn("t", F.lit(1))
+    both = r.join(t, ["query_id", "key"], "full_outer").groupBy("query_id").agg(F.max(F.col("r") * F.col("t")).alias("met"))
+    rows = queries.select("query_id").distinct().join(both.withColumn("any", F.lit(True)), "query_id", "left")
+    return rows.select("query_id", (F.col("met").isNotNull() | (F.col("any").isNull() & F.lit(empty_agrees))).alias("hit"))
+
+
+def hit_rate(hits: DataFrame, metric: str) -> DataFrame:
+    """(metric, items, hits, score): share of hits to 3 places, 1 without items."""
+    n = F.count(F.lit(1))
+    return hits.agg(F.lit(metric).alias("metric"), n.alias("items"), F.count_if("hit").alias("hits"), F.coalesce(F.round(F.avg(F.col("hit").cast("double")), 3), F.lit(1.0)).alias("score"))
+
+
+def macro_average(sets: DataFrame) -> DataFrame:
+    """(items, precision, recall, f1): plain means over queries to 3 places, 1 without queries."""
+    return sets.agg(F.count(F.lit(1)).alias("items"), *[F.coalesce(F.round(F.avg(c), 3), F.lit(1.0)).alias(c) for c in ("precision", "recall", "f1")])
+
+
 def path_accuracy(retrieved: Column, truth: Column) -> Column:
     """struct(overlap, exact): share of the truth's elements that occur among the retrieved; exact if all do."""
     r, t = F.transform(retrieved, _key), F.transform(truth, _key)

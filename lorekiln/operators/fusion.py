@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekiln.functions.text import token_estimate, trimmed
 from lorekiln.operators.lexical import POOL, keyword_search
-from lorekiln.operators.vectors import hash_embedding, sparse_cosine
+from lorekiln.operators.vectors import hash_search
 
 K_RRF = 60
 
@@ -27,14 +27,6 @@ def rrf(lists: list[DataFrame], k: int = 8, k_rrf: int = K_RRF) -> DataFrame:
     return summed.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
-def hash_search(docs: DataFrame, queries: DataFrame, id_column: str, doc_text: str, query_id: str, text: str, order: str, k: int = 8) -> DataFrame:
-    """(query_id, id, score, rank): nearest documents by cosine of hash embeddings; ties in arrival order."""
-    scores = sparse_cosine(hash_embedding(queries, query_id, text), hash_embedding(docs, id_column, doc_text))
-    placed = scores.join(docs.select(F.col(id_column).alias("id"), F.col(order).alias("tie")), "id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "tie"))
-    return placed.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")
-
-
 def hybrid_search(docs: DataFrame, queries: DataFrame, id_column: str, columns: list[str], query_id: str, text: str, order: str, k: int = 8) -> DataFrame:
     """(query_id, id, score, rank): the best 30 by keywords and the best 30 by vectors, fused."""
     keyword = keyword_search(docs, queries, id_column, columns, query_id, text, order, POOL)
@@ -43,17 +35,24 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, id_column: str, columns:
 
 
 def context_blocks(ranked: DataFrame, docs: DataFrame, max_tokens: int = 2_000) -> DataFrame:
-    """(query_id, chunks_count, estimated_tokens, context): each query's best chunks under a token budget.
+    """(query_id, chunks_count, estimated_tokens, sources, context): each query's best chunks under a token budget.
 
-    ``ranked`` is (query_id, id, rank), ``docs`` (id, path, heading_path, content). The first block is always
-    taken; blocks end at the first that would overflow.
+    ``ranked`` is (query_id, id, rank) and, if known, score, ``docs`` (id, path, heading_path, content). The first block is always
+    taken; blocks end at the first that would overflow. ``sources`` lists path, heading path and score of the blocks
+    that were taken.
     """
+    score = F.round("score", 4) if "score" in ranked.columns else F.lit(None).cast("double")
     heading = F.when(F.coalesce("heading_path", F.lit("")) == "", "").otherwise(F.concat(F.lit(" > "), "heading_path"))
     head = F.concat(F.lit("### ["), F.coalesce("path", F.lit("")), F.lit("]"), heading, F.lit("\n"))
     block = F.concat(head, F.coalesce("content", F.lit("")), F.lit("\n\n---\n\n"))
-    rows = ranked.join(docs, "id").select("query_id", "rank", block.alias("block")).withColumn("est", token_estimate(F.col("block")))
+    rows = ranked.join(docs, "id").select("query_id", "rank", F.struct("path", "heading_path", score.alias("score")).alias("source"), block.alias("block")).withColumn("est", token_estimate(F.col("block")))
     upto = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     kept = rows.withColumn("total", F.sum("est").over(upto)).withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     kept = kept.filter((F.col("nth") == 1) | (F.col("total") <= max_tokens))
-    listed = F.sort_array(F.collect_list(F.struct("rank", "block")))
-    return kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks_count"), F.sum("est").alias("estimated_tokens"), trimmed(F.array_join(F.transform(listed, lambda s: s["block"]), "")).alias("context"))
+    listed = F.sort_array(F.collect_list(F.struct("rank", "block", "source")))
+    return kept.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("chunks_count"),
+        F.sum("est").alias("estimated_tokens"),
+        F.transform(listed, lambda s: s["source"]).alias("sources"),
+        trimmed(F.array_join(F.transform(listed, lambda s: s["block"]), "")).alias("context"),
+    )

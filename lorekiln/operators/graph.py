@@ -173,15 +173,17 @@ def lineage_trees(children: DataFrame, roots: DataFrame, max_depth: int = 4) ->
 
 
 def related_entities(ranked: DataFrame, links: DataFrame, entities: DataFrame, files: DataFrame, edges: DataFrame, per_chunk: int = 5) -> DataFrame:
-    """(query_id, chunk_id, rank, nth, entity_id, name, type, path, edge_type, influence): entities of found chunks.
+    """``ranked`` (query_id, id, ...) with (nth, entity_id, name, type, path, edge_type, influence) of found chunks.
 
-    An entity comes once for each of its outgoing edges, or once with REFERENCES and no influence if it has none;
-    the first ``per_chunk`` rows by entity, edge type, target.
+    Every found chunk stays: one without a known entity has one row with nulls. An entity comes once for each of its
+    outgoing edges, or once with REFERENCES and no influence if it has none; the first ``per_chunk`` rows by entity,
+    edge type, target, numbered from 1.
     """
-    rows = ranked.withColumnRenamed("id", "chunk_id").join(links.distinct(), "chunk_id")
     about = entities.select("entity_id", "name", "type", "file_id").join(files.select("file_id", "path"), "file_id", "left").drop("file_id")
-    out = edges.select(F.col("source_id").alias("entity_id"), "target_id", "edge_type", "weight").distinct()
-    rows = rows.join(about, "entity_id").join(out, "entity_id", "left")
-    nth = F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("entity_id", F.asc_nulls_first("edge_type"), F.asc_nulls_first("target_id"), F.asc_nulls_first("weight")))
-    kept = rows.withColumn("nth", nth).filter(F.col("nth") <= per_chunk)
-    return kept.select("query_id", "chunk_id", "rank", "nth", "entity_id", "name", "type", "path", F.coalesce("edge_type", F.lit("REFERENCES")).alias("edge_type"), F.col("weight").alias("influence"))
+    out = edges.select(F.col("source_id").alias("entity_id"), "target_id", F.col("edge_type").alias("kind"), "weight").distinct()
+    found = ranked.select("id").distinct().join(links.select(F.col("chunk_id").alias("id"), "entity_id").distinct(), "id").join(about, "entity_id").join(out, "entity_id", "left")
+    order = ["entity_id", F.asc_nulls_first("kind"), F.asc_nulls_first("target_id"), F.asc_nulls_first("weight")]
+    found = found.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(*order))).filter(F.col("nth") <= per_chunk)
+    kept = found.select("id", "nth", "entity_id", "name", "type", "path", F.coalesce("kind", F.lit("REFERENCES")).alias("edge_type"), F.col("weight").alias("influence"))
+    return ranked.join(kept, "id", "left")
+

@@ -25,28 +25,23 @@ def _parents(links: DataFrame, parent: str, child: str) -> DataFrame:
     return tagged.groupBy("node").agg(F.min("up").alias("up"))
 
 
+def other_parents(links: DataFrame, parent: str, child: str) -> DataFrame:
+    """(child_id, parent_id, kept_parent_id): links of ids with several parents that are no part of the hierarchy."""
+    pairs = links.select(F.col(parent).cast("string").alias("parent_id"), F.col(child).cast("string").alias("child_id")).filter("parent_id is not null and child_id is not null").distinct()
+    kept = pairs.groupBy("child_id").agg(F.min("parent_id").alias("kept_parent_id"))
+    return pairs.join(kept, "child_id").filter("parent_id <> kept_parent_id").select("child_id", "parent_id", "kept_parent_id")
+
+
 def _climb(state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sizes upward: (node, up, root, depth, size) of the trees, and (node, up) of what lies on or below cycles."""
-    state = durable(state.select("node", "up", F.col("up").alias("jump"), F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(1).cast("long").alias("size")))
-    stride, active = 1, state.filter("jump is not null").count()
+    """Sizes upward: (node, up, size) of the trees, and (node, up) of what lies on or below cycles."""
+    state = durable(state.select("node", "up", F.col("up").alias("jump"), F.lit(1).cast("long").alias("size")))
+    active = state.filter("jump is not null").count()
     while active:
         # Descendants nearer than 2 * stride: those nearer than the stride, of the node and of all nodes a stride below.
         lower = state.filter("jump is not null").groupBy(F.col("jump").alias("node")).agg(F.sum("size").alias("more"))
-        ahead = state.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("root").alias("far"), F.col("depth").alias("steps"))
+        ahead = state.select(F.col("node").alias("jump"), F.col("jump").alias("next"))
         grown = state.join(lower, "node", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
-        moved = grown.join(ahead, "jump", "left")
-        arrived = F.col("jump").isNotNull() & F.col("next").isNull()
-        state = durable(
-            moved.select(
-                "node",
-                "up",
-                F.col("next").alias("jump"),
-                F.when(arrived, F.col("far")).otherwise(F.col("root")).alias("root"),
-                F.when(arrived, F.col("steps") + stride).otherwise(F.col("depth")).alias("depth"),
-                "size",
-            )
-        )
-        stride *= 2
+        state = durable(grown.join(ahead, "jump", "left").select("node", "up", F.col("next").alias("jump"), "size"))
         left = state.filter("jump is not null").count()
         # Depths have no gaps: if none lies in this stride's range, what is left has no root.
         if left == active:
@@ -56,18 +51,22 @@ def _climb(state: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _descend(trees: DataFrame, with_paths: bool) -> DataFrame:
-    """Adds ``pre``, the preorder number in the tree, and, if asked for, ``path``, the ids from the root down."""
+    """Adds ``pre``, the preorder number among all nodes, and, if asked for, ``path``, the ids from the root down.
+
+    Roots are siblings like any other, so the ranges [pre, pre + size) of all trees stand side by side.
+    """
+    above = F.coalesce("up", F.lit(""))
     bucket = F.pmod(F.xxhash64("node"), F.lit(SIBLING_BUCKETS)).alias("bucket")
-    child = trees.filter("up is not null").select("node", "up", "size", bucket)
-    sums = child.groupBy("up", "bucket").agg(F.sum("size").alias("held"))
-    earlier = Window.partitionBy("up").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("up", "bucket", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("up", "bucket").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    child = trees.select("node", F.struct(F.col("up").isNull().alias("top"), above.alias("up")).alias("of"), "size", bucket)
+    sums = child.groupBy("of", "bucket").agg(F.sum("size").alias("held"))
+    earlier = Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("of", "bucket", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("of", "bucket").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     child = child.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    offset = child.join(sums, ["up", "bucket"]).select("node", (F.col("base") + F.col("inner") + 1).alias("pre"))
+    # a child's range begins behind its parent's own number
+    offset = child.join(sums, ["of", "bucket"]).select("node", (F.col("base") + F.col("inner") + F.when(F.col("of.top"), 0).otherwise(1)).alias("pre"))
     path = F.array("node") if with_paths else F.lit(None).cast("array<string>")
-    state = trees.join(offset, "node", "left").select("node", F.col("up").alias("jump"), F.coalesce("pre", F.lit(0)).alias("pre"), path.alias("path"))
-    state = durable(state)
+    state = durable(trees.join(offset, "node").select("node", F.col("up").alias("jump"), "pre", path.alias("path")))
     while state.filter("jump is not null").limit(1).count():
         ahead = state.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("pre").alias("pre_up"), F.col("path").alias("path_up"))
         moved = state.join(ahead, "jump", "left")
@@ -76,6 +75,26 @@ def _descend(trees: DataFrame, with_paths: bool) -> DataFrame:
     return trees.join(state.drop("jump"), "node")
 
 
+def _nested(trees: DataFrame) -> DataFrame:
+    """Adds ``root`` and ``depth`` to (node, up, size, pre, ...), read off the nested ranges in one sort.
+
+    Before a node's number ``pre`` stand as many range beginnings; less the ranges that have ended there, these are
+    its ancestors, and the last root to begin is its root.
+    """
+    begin = trees.select(F.col("pre").alias("at"), F.lit(1).alias("kind"), "node", F.when(F.col("up").isNull(), F.struct("pre", "node")).alias("top"))
+    end = trees.select((F.col("pre") + F.col("size")).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("node"), F.lit(None).cast("struct<pre:bigint,node:string>").alias("top"))
+    marks = durable(begin.unionByName(end).repartitionByRange("at", "kind").withColumn("part", F.spark_partition_id()))
+    ended = F.sum(1 - F.col("kind"))
+    # a row a partition
+    parts = marks.groupBy("part").agg(ended.alias("ended"), F.max("top").alias("top"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("ended").over(earlier), F.lit(0)).alias("ended_before"), F.max("top").over(earlier).alias("top_before"))
+    upto = Window.partitionBy("part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    placed = marks.withColumns({"ended": ended.over(upto), "last_top": F.max("top").over(upto)}).filter("kind = 1").join(F.broadcast(parts), "part")
+    placed = placed.select("node", F.coalesce("last_top", "top_before")["node"].alias("root"), (F.col("at") - F.col("ended") - F.col("ended_before")).alias("depth"))
+    return trees.join(placed, "node")
+
+
 def _cycles(rest: DataFrame) -> DataFrame:
     """(node, root): root is the smallest id on the cycle that the node lies on or below."""
     state = durable(rest.select("node", F.col("up").alias("jump"), F.col("up").alias("low")))
@@ -91,15 +110,14 @@ def _cycles(rest: DataFrame) -> DataFrame:
 def hierarchy(links: DataFrame, parent: str, child: str, with_paths: bool = True) -> DataFrame:
     """(node_id, root_id, depth, path, n_descendants, pre): one row per id that occurs in ``links``.
 
-    depth 0 and root itself at a root; ``pre`` numbers the nodes of a tree so that the descendants of a node are
-    those of its root with pre in (pre, pre + n_descendants]. A node on or below a cycle (a self-link is one) has
+    depth 0 and root itself at a root; ``pre`` numbers the nodes of all trees so that the descendants of a node are
+    those with pre in (pre, pre + n_descendants]. A node on or below a cycle (a self-link is one) has
     depth -1, as root the smallest id on that cycle, and null elsewhere. Repeated links count once; a link with a
-    null end is ignored; an id of several parents hangs under the smallest. Extra columns are ignored; no links
+    null end is ignored; an id of several parents hangs under the smallest (``other_parents`` gives the rest). Extra columns are ignored; no links
     give no rows.
     """
-    state = _parents(links, parent, child)
-    trees, rest = _climb(state)
-    placed = _descend(trees, with_paths).select(
+    trees, rest = _climb(_parents(links, parent, child))
+    placed = _nested(_descend(trees, with_paths)).select(
         F.col("node").alias("node_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), "path", (F.col("size") - 1).alias("n_descendants"), "pre"
     )
     cyclic = _cycles(rest).select(
@@ -115,25 +133,34 @@ def descendants(tree: DataFrame, asked: DataFrame, id_column: str) -> DataFrame:
     Ranges and nodes meet in buckets of preorder numbers, so a range is compared with few nodes outside it.
     """
     top = tree.join(asked.select(F.col(id_column).alias("node_id")).distinct(), "node_id").filter("n_descendants > 0")
-    top = top.select(F.col("node_id").alias("ancestor_id"), "root_id", F.col("pre").alias("first"), (F.col("pre") + F.col("n_descendants")).alias("last"))
+    return _below(top.select("node_id", "pre", "n_descendants"), tree.select("node_id", "pre"))
+
+
+def _below(top: DataFrame, tree: DataFrame) -> DataFrame:
+    """Descendants of (node_id, pre, n_descendants) among (node_id, pre)."""
+    top = top.filter("n_descendants > 0").select(F.col("node_id").alias("ancestor_id"), F.col("pre").alias("first"), (F.col("pre") + F.col("n_descendants")).alias("last"))
     top = top.withColumn("bucket", F.explode(F.sequence(F.expr(f"(first + 1) div {RANGE_BUCKET}"), F.expr(f"last div {RANGE_BUCKET}"))))
-    below = tree.filter("pre is not null").select("root_id", F.col("node_id").alias("descendant_id"), "pre", F.expr(f"pre div {RANGE_BUCKET}").alias("bucket"))
-    return top.join(below, ["root_id", "bucket"]).filter("pre > first and pre <= last").select("ancestor_id", "descendant_id")
+    below = tree.filter("pre is not null").select(F.col("node_id").alias("descendant_id"), "pre", F.expr(f"pre div {RANGE_BUCKET}").alias("bucket"))
+    return top.join(below, "bucket").filter("pre > first and pre <= last").select("ancestor_id", "descendant_id")
 
 
 def all_descendants(links: DataFrame, parent: str, child: str) -> DataFrame:
     """(ancestor_id, descendant_id): every node with every other node that its links lead down to.
 
-    Each node's path gives its ancestors, so no join makes a pair that is not in the result. A cycle is cut above
-    its smallest id; all of its nodes are ancestors of each other and of what lies below it. Links as in ``hierarchy``.
+    From the nested ranges: no join makes more than ``RANGE_BUCKET`` pairs a range and bucket that are not in the
+    result. A cycle is cut above its smallest id; all of its nodes are ancestors of each other and of what lies below
+    it. Links as in ``hierarchy``.
     """
     trees, rest = _climb(_parents(links, parent, child))
     lost = durable(rest.join(_cycles(rest), "node"))
     cut, _ = _climb(lost.select("node", F.when(F.col("node") != F.col("root"), F.col("up")).alias("up")))
-    paths = durable(_descend(trees.unionByName(cut), True).select("node", "root", "path"))
-    # the ring of a cycle: the path to the node above its smallest id
-    closing = lost.filter("node = root").select(F.col("root").alias("ring_root"), F.col("up").alias("node"))
-    rings = closing.join(paths.select("node", F.col("path").alias("ring")), "node").select(F.col("ring_root").alias("root"), "ring")
-    above = F.array_union("path", F.coalesce("ring", F.array().cast("array<string>")))
-    pairs = paths.join(rings, "root", "left").select(F.explode(above).alias("ancestor_id"), F.col("node").alias("descendant_id"))
-    return pairs.filter("ancestor_id != descendant_id")
+    both = trees.withColumn("cyclic", F.lit(False)).unionByName(cut.withColumn("cyclic", F.lit(True)))
+    ranges = durable(_descend(both, False).select(F.col("node").alias("node_id"), "pre", (F.col("size") - 1).alias("n_descendants"), "cyclic"))
+    pairs = _below(ranges, ranges)
+    # the ring of a cycle: the node above its smallest id, and what has that node below it
+    closing = lost.filter("node = root").select(F.col("root").alias("ring"), F.col("up").alias("descendant_id"))
+    lower = ranges.filter("cyclic").select("node_id", "pre", "n_descendants")
+    rings = _below(lower, lower).join(closing, "descendant_id").select("ring", F.col("ancestor_id").alias("ancestor_id")).unionByName(closing.select("ring", F.col("descendant_id").alias("ancestor_id"))).distinct()
+    turning = rings.join(lost.select(F.col("root").alias("ring"), F.col("node").alias("descendant_id")), "ring").filter("ancestor_id != descendant_id")
+    known = pairs.join(rings.select("ancestor_id"), "ancestor_id", "left_anti")
+    return known.unionByName(turning.select("ancestor_id", "descendant_id"))

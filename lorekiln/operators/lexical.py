@@ -85,16 +85,36 @@ def phrase_hits(docs: DataFrame, id_column: str, columns: list[str], wanted: Dat
     return found.groupBy("id", "phrase").agg(F.count(F.lit(1)).alias("f"), F.first("dl").alias("dl"))
 
 
+def index_hits(index: DataFrame, lengths: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``phrase_hits`` from the inverted index (``postings``, ``doc_lengths``): no text is read.
+
+    The terms of the phrases are broadcast and select the postings; where a phrase has several, its occurrences are the
+    places at which all of them stand in a row.
+    """
+    distinct = wanted.select("phrase", "words").distinct()
+    few = distinct.limit(HOT_BROADCAST_ROWS + 1).count() <= HOT_BROADCAST_ROWS
+    terms = distinct.select("phrase", "words", F.posexplode(F.split("phrase", " ")).alias("offset", "term"))
+    rows = index.join(F.broadcast(terms) if few else terms, "term")
+    single = rows.filter("words = 1").select("id", "phrase", "tf")
+    starts = rows.filter("words > 1").select("id", "col", "phrase", "words", F.explode(F.transform("positions", lambda p: p - F.col("offset"))).alias("start"))
+    several = starts.groupBy("id", "col", "phrase", "words", "start").agg(F.count(F.lit(1)).alias("n")).filter("n = words").select("id", "phrase", F.lit(1).cast("bigint").alias("tf"))
+    found = single.unionByName(several).groupBy("id", "phrase").agg(F.sum("tf").alias("f"))
+    return found.join(lengths.select("id", "dl"), "id")
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, id_column: str, columns: list[str], query_id: str, text: str) -> DataFrame:
     """(query_id, id, score) of every document that holds a phrase of the query; lower is better.
 
     Null texts have no tokens but count as documents. A query without terms has no rows.
     """
     wanted = phrases(queries, query_id, text)
-    hits = durable(phrase_hits(docs, id_column, columns, wanted))
+    return _scored(phrase_hits(docs, id_column, columns, wanted), corpus_stats(docs, id_column, columns), wanted)
+
+
+def _scored(hits: DataFrame, stats: DataFrame, wanted: DataFrame) -> DataFrame:
+    hits = durable(hits)
     df = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    stats = F.broadcast(corpus_stats(docs, id_column, columns).select("n", "avgdl"))
-    weighted = hits.join(df, "phrase").join(stats)
+    weighted = hits.join(df, "phrase").join(F.broadcast(stats.select("n", "avgdl")))
     f = F.col("f")
     part = idf(F.col("n"), F.col("df")) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = weighted.select("id", "phrase", part.alias("part")).join(wanted.select("query_id", "phrase", "times"), "phrase")
@@ -104,6 +124,16 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_column: str, columns: li
 def keyword_search(docs: DataFrame, queries: DataFrame, id_column: str, columns: list[str], query_id: str, text: str, order: str, k: int = 8) -> DataFrame:
     """(query_id, id, score, rank): the best ``k`` documents of each query, at most 30; ties in arrival order."""
     scores = bm25_scores(docs, queries, id_column, columns, query_id, text)
-    placed = scores.join(docs.select(F.col(id_column).alias("id"), F.col(order).alias("tie")), "id")
+    return _placed(scores, docs.select(F.col(id_column).alias("id"), F.col(order).alias("tie")), k)
+
+
+def index_search(index: DataFrame, lengths: DataFrame, queries: DataFrame, query_id: str, text: str, order: DataFrame, k: int = 8) -> DataFrame:
+    """``keyword_search`` on a stored inverted index: ``postings``, ``doc_lengths`` and (id, tie), the arrival order."""
+    wanted = phrases(queries, query_id, text)
+    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return _placed(_scored(index_hits(index, lengths, wanted), stats, wanted), order, k)
+
+
+def _placed(scores: DataFrame, order: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9), "tie"))
-    return placed.withColumn("rank", rank).filter(F.col("rank") <= min(k, POOL)).select("query_id", "id", "score", "rank")
+    return scores.join(order, "id").withColumn("rank", rank).filter(F.col("rank") <= min(k, POOL)).select("query_id", "id", "score", "rank")

@@ -2,48 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekiln.operators.embedding import HashProvider
 from lorekiln.session import durable
 
 DIM = 768
-
-
-def djb2(word: Column) -> Column:
-    """The 32-bit string hash h = h * 33 + c from 5381, as a signed number."""
-    code = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
-    h = F.aggregate(code, F.lit(5381).cast("bigint"), lambda acc, c: F.pmod(acc * 33 + c, F.lit(2**32)))
-    return F.when(h >= 2**31, h - 2**32).otherwise(h)
-
-
-def hash_words(text: Column) -> Column:
-    """Words that the hash embedding counts."""
-    bare = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s\u00A0\uFEFF\p{Z}_]", " ")
-    return F.filter(F.split(bare, r"[\s\u00A0\uFEFF\p{Z}]+"), lambda w: w != "")
+#: Rows that are embedded or multiplied at a time.
+_STEP = 1_024
 
 
 def hash_embedding(rows: DataFrame, id_column: str, text_column: str, dim: int = DIM) -> DataFrame:
     """(id, bucket, weight): non-zero values of the deterministic embedding, of unit length, as float.
 
-    One shuffle by id serves the counts and the norm. A text without words has no rows; null is such a text.
+    Words are counted inside the row, so nothing is shuffled. A text without words has no rows; null is such a text; a
+    repeated row gives its values again.
     """
-    words = rows.select(F.col(id_column).alias("id"), F.explode(hash_words(F.col(text_column))).alias("word"))
-    hashed = words.select("id", (F.abs(djb2(F.col("word"))) % dim).cast("int").alias("bucket")).repartition("id")
-    buckets = hashed.groupBy("id", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id")))
-    return buckets.select("id", "bucket", (F.col("n") / norm).cast("float").alias("weight"))
+    texts = rows.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).filter("text is not null")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embed = HashProvider(dim)
+        for batch in batches:
+            for at in range(0, batch.num_rows, _STEP):
+                part = batch.slice(at, _STEP)
+                x = np.stack(embed(part.column(1).to_pylist()))
+                row, bucket = np.nonzero(x)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(bucket.astype(np.int32)), pa.array(x[row, bucket])], names=["id", "bucket", "weight"])
 
-def sparse_cosine(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(query_id, id, score) of hash embeddings that share a bucket; both sides have unit length."""
-    q = left.select(F.col("id").alias("query_id"), "bucket", F.col("weight").alias("q"))
-    pairs = right.join(q, "bucket")
-    return pairs.groupBy("query_id", "id").agg(F.sum(F.col("q").cast("double") * F.col("weight").cast("double")).alias("score"))
+    return texts.mapInArrow(run, f"id {dict(texts.dtypes)['id']}, bucket int, weight float")
 
 
 def cosine(x: Column, y: Column) -> Column:
@@ -77,53 +69,107 @@ def with_previous(rows: DataFrame, group: str, order: list[str], value: str) ->
 def vector_search(queries: DataFrame, rows: DataFrame, query_id: str, id_column: str, vector_column: str, k: int = 8, pass_rows: int = 16_384) -> DataFrame:
     """(query_id, id, score, rank): exact top ``k`` by cosine of every query vector against all row vectors.
 
-    Rows of another length than the query score 0, as do zero vectors; null vectors are left out. The query vectors
-    of a pass (at most ``pass_rows``) are broadcast and multiplied with each batch of rows; a batch passes on its
-    own best k for each query.
+    Rows of another length than the query score 0, as do zero vectors; null vectors are left out; ties go to the
+    smaller id. The query vectors of a pass (at most ``pass_rows``) are broadcast and multiplied with the rows as they
+    are scanned; a task keeps the best k of each query, so what is shuffled does not grow with the rows.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector_column).alias("v")).filter("v is not null")
+    base = rows.select(F.col(id_column).alias("tie"), F.col(id_column).alias("id"), F.col(vector_column).alias("v")).filter("v is not null")
+    return _searched(asked, base, k, pass_rows, _vectors)
+
+
+def hash_search(docs: DataFrame, queries: DataFrame, id_column: str, doc_text: str, query_id: str, text: str, order: str, k: int = 8, dim: int = DIM, pass_rows: int = 2_048) -> DataFrame:
+    """(query_id, id, score, rank): nearest documents by cosine of hash embeddings, those that share a word's bucket.
+
+    Ties in the order of ``order``. Documents are embedded as they are scanned, as in ``vector_search``; null and
+    wordless texts find nothing and are not found.
+    """
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(text).alias("v")).filter("v is not null")
+    base = docs.select(F.col(order).alias("tie"), F.col(id_column).alias("id"), F.col(doc_text).alias("v")).filter("v is not null")
+    return _searched(asked, base, k, pass_rows, _HashedTexts(dim)).filter("score > 0")
+
+
+def _searched(asked: DataFrame, base: DataFrame, k: int, pass_rows: int, read: Reader) -> DataFrame:
     passes = max(1, -(-asked.count() * 5 // (pass_rows * 4)))
-    base = rows.select(F.col(id_column).alias("id"), F.col(vector_column).alias("v")).filter("v is not null")
-    kinds = f"query_id {dict(asked.dtypes)['query_id']}, id {dict(base.dtypes)['id']}, score double"
+    kinds = dict(base.dtypes)
     out = None
     for p in range(passes):
         block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).toArrow()
-        found = base.mapInArrow(_meeting(base.sparkSession.sparkContext.broadcast(_by_length(block)), k), kinds)
+        shared = base.sparkSession.sparkContext.broadcast((block.column("query_id").combine_chunks(), read(block.column("v").combine_chunks())))
+        found = base.mapInArrow(_meeting(shared, k, read), f"query_id {dict(asked.dtypes)['query_id']}, tie {kinds['tie']}, id {kinds['id']}, score double")
         out = found if out is None else out.unionByName(found)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "tie", "id"))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
-def _unit(vectors: list) -> np.ndarray:
-    x = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
-    norm = np.linalg.norm(x, axis=1, keepdims=True) if x.size else np.ones((len(vectors), 1))
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+#: Gives for each length of vectors the places that have it and the unit vectors themselves.
+Reader = Callable[[pa.Array], dict[int, tuple[np.ndarray, np.ndarray]]]
 
 
-def _by_length(block: pa.Table) -> dict[int, tuple[pa.Array, np.ndarray]]:
-    vectors = block.column("v").to_pylist()
-    out = {}
-    for size in {len(v) for v in vectors}:
-        at = [i for i, v in enumerate(vectors) if len(v) == size]
-        out[size] = (block.column("query_id").combine_chunks().take(pa.array(at)), _unit([vectors[i] for i in at]))
+def _vectors(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    sizes, out = np.asarray(pc.list_value_length(column)), {}
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        flat = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+        out[int(n)] = at, _unit(flat.astype(np.float64).reshape(len(at), n))
     return out
 
 
-def _meeting(shared: object, k: int) -> object:
+class _HashedTexts:
+    """Reads texts as their hash embeddings."""
+
+    def __init__(self, dim: int) -> None:
+        self.embed = HashProvider(dim)
+
+    def __call__(self, column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        return {self.embed.dim: (np.arange(len(column)), np.stack(self.embed(column.to_pylist())).astype(np.float64))} if len(column) else {}
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _meeting(shared: object, k: int, read: Reader) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = batch.column(1).to_pylist()
-            sizes = np.array([len(v) for v in vectors])
-            ids = batch.column(0)
-            order = np.argsort(np.argsort(np.array(ids.to_pylist(), dtype=object), kind="stable"), kind="stable")
-            for size, (names, x) in shared.value.items():
-                score = np.zeros((len(names), len(vectors)))
-                same = np.flatnonzero(sizes == size)
-                if len(same):
-                    score[:, same] = x @ _unit([vectors[i] for i in same]).T
-                rough = np.round(score, 9)
-                top = np.lexsort((np.broadcast_to(order, rough.shape), -rough), axis=1)[:, :k]
-                q = np.repeat(np.arange(len(names)), top.shape[1])
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids.take(pa.array(top.ravel())), pa.array(score[q, top.ravel()])], names=["query_id", "id", "score"])
+        names, asked = shared.value
+        best: list[list[tuple]] = [[] for _ in range(len(names))]
+        tie_kind = (pa.null(), pa.null())
+        floor = np.full(len(names), -np.inf)
+        for whole in batches:
+            for at in range(0, whole.num_rows, _STEP):
+                batch = whole.slice(at, _STEP)
+                tie_kind = (batch.column(0).type, batch.column(1).type)
+                ties, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                order = sorted(range(len(ids)), key=lambda i: (ties[i] is not None, ties[i], ids[i]))
+                rows = read(batch.column(2).take(pa.array(order, pa.int64())))
+                for size, (mine, x) in asked.items():
+                    score = np.zeros((len(mine), len(ids)))
+                    if size in rows:
+                        there, y = rows[size]
+                        score[:, there] = x @ y.T
+                    for q, d in zip(*_chosen(np.round(score, 9), floor[mine], k), strict=True):
+                        best[mine[q]].append((-round(score[q, d], 9), ties[order[d]], ids[order[d]], score[q, d]))
+                    for q in mine:
+                        if len(best[q]) > k:
+                            best[q] = sorted(best[q], key=lambda r: (r[0], r[1] is not None, *r[1:3]))[:k]
+                        if len(best[q]) == k:
+                            floor[q] = -max(r[0] for r in best[q])
+        rows = [(q, *r[1:]) for q, found in enumerate(best) for r in found]
+        if rows:
+            q, tie, name, score = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(tie, tie_kind[0]), pa.array(name, tie_kind[1]), pa.array(score, pa.float64())], names=["query_id", "tie", "id", "score"])
 
     return run
+
+
+def _chosen(score: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each row's best ``k`` that reach its floor; of equal ones the first."""
+    ok = score >= floor[:, None]
+    crowded = np.flatnonzero(ok.sum(axis=1) > k)
+    if len(crowded):
+        held = np.where(ok[crowded], score[crowded], -np.inf)
+        kth = -np.partition(-held, k - 1, axis=1)[:, k - 1 : k]
+        above, equal = held > kth, held == kth
+        ok[crowded] = above | (equal & (equal.cumsum(axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    return np.nonzero(ok)

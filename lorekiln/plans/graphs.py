@@ -87,11 +87,17 @@ def lineage_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Hybrid search with up to five related entity rows for each chunk."""
-    ranked = fusion.hybrid_search(retrieval._chunks(spark, sf), retrieval._asked(spark, sf), "chunk_id", retrieval.COLUMNS, "query_id", "text", "ord", 8)
-    tables = [load(spark, sf, t) for t in ("entity_chunk_map", "entities", "files", "edges")]
-    found = graph.related_entities(ranked.select("query_id", "id", "rank"), *tables)
-    return found.select("query_id", "chunk_id", F.col("nth").cast("bigint").alias("nth"), "entity_id", "name", "type", "path", "edge_type", "influence")
+    """Hybrid search, every found chunk with its fields and up to five related entity rows, or one without any."""
+    chunks = retrieval._chunks(spark, sf)
+    ranked = fusion.hybrid_search(chunks, retrieval._asked(spark, sf), "chunk_id", retrieval.COLUMNS, "query_id", "text", "ord", 8)
+    files = load(spark, sf, "files")
+    about = chunks.join(files.select("file_id", F.col("path").alias("file_path")), "file_id", "left")
+    ranked = ranked.join(about.select(F.col("chunk_id").alias("id"), "file_path", "heading_path", F.sha2("content", 256).alias("content_sha")), "id")
+    found = graph.related_entities(ranked, load(spark, sf, "entity_chunk_map"), load(spark, sf, "entities"), files, load(spark, sf, "edges"))
+    return found.select(
+        "query_id", F.col("id").alias("chunk_id"), F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"), "file_path", "heading_path", "content_sha",
+        F.col("nth").cast("bigint").alias("nth"), "entity_id", "name", "type", "path", "edge_type", "influence",
+    )
 
 
 def graph_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -185,11 +191,12 @@ walk AS (SELECT start_id AS root_id, start_id AS node_id, 0 AS depth FROM starts
 SELECT root_id, node_id, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY ALL""",
     "graph_hybrid_search": f"""WITH {retrieval._ASKED}, {retrieval._INDEX}, {retrieval._BM25}, {retrieval._VEC}, {retrieval._FUSED},
 rel AS (
-  SELECT query_id, id AS chunk_id, rank, entity_id, name, type, path, edge_type, weight,
-    row_number() OVER (PARTITION BY query_id, id ORDER BY entity_id, edge_type NULLS FIRST, target_id NULLS FIRST, weight NULLS FIRST) AS nth
-  FROM fused JOIN (SELECT DISTINCT * FROM entity_chunk_map) m ON m.chunk_id = id JOIN entities USING (entity_id) LEFT JOIN files USING (file_id)
-    LEFT JOIN (SELECT DISTINCT source_id, target_id, edge_type, weight FROM edges) e ON e.source_id = entity_id WHERE rank <= 8)
-SELECT query_id, chunk_id, nth, entity_id, name, type, path, coalesce(edge_type, 'REFERENCES') AS edge_type, weight AS influence FROM rel WHERE nth <= 5""",
+  SELECT chunk_id, entity_id, name, type, path, coalesce(edge_type, 'REFERENCES') AS edge_type, weight AS influence,
+    row_number() OVER (PARTITION BY chunk_id ORDER BY entity_id, edge_type NULLS FIRST, target_id NULLS FIRST, weight NULLS FIRST) AS nth
+  FROM (SELECT DISTINCT * FROM entity_chunk_map) m JOIN entities USING (entity_id) LEFT JOIN files USING (file_id)
+    LEFT JOIN (SELECT DISTINCT source_id, target_id, edge_type, weight FROM edges) e ON e.source_id = entity_id)
+SELECT query_id, id AS chunk_id, rank, round(score, 6) AS score, f.path AS file_path, heading_path, sha256(content) AS content_sha, nth, entity_id, name, type, rel.path, edge_type, influence
+FROM fused JOIN chunks c ON c.chunk_id = id LEFT JOIN files f USING (file_id) LEFT JOIN rel ON rel.chunk_id = id AND nth <= 5 WHERE rank <= 8""",
     "graph_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("files", "chunks", "entities", "edges", "entity_chunk_map")),
     "upsert_entities": f"""SELECT {_LOW.format('name')} AS name_key, arg_min(entity_id, s) AS entity_id, arg_min(name, s) AS name, arg_min(created_ms, s) AS created_ms, arg_max(type, s) AS type, arg_max(source, s) AS source,
   arg_max(file_id, s) FILTER (WHERE file_id IS NOT NULL) AS file_id, arg_max(metadata, s) FILTER (WHERE metadata IS NOT NULL) AS metadata, count(*) AS writes

@@ -56,6 +56,11 @@ def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return h.all_descendants(load(spark, sf, "edges").filter("edge_type = 'IMPLEMENTS'"), "source_id", "target_id")
 
 
+def p5_other_parents(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of ids with several parents that the trees leave out."""
+    return h.other_parents(load(spark, sf, "edges").filter("edge_type = 'IMPLEMENTS'"), "source_id", "target_id")
+
+
 def p5_depth_check(spark: SparkSession, sf: str) -> DataFrame:
     """Exported lineage rows beside the depth that the links give: same, stale, cyclic or unknown."""
     tree = _tree(spark, sf, False).select("node_id", F.col("depth").alias("actual_depth"))
@@ -65,7 +70,7 @@ def p5_depth_check(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("lineage_id", "node_id", "depth", "actual_depth", status.alias("status"))
 
 
-QUERIES = (p3_found, p3_report, p5_found, p5_hierarchy, p5_descendants, p5_depth_check)
+QUERIES = (p3_found, p3_report, p5_found, p5_hierarchy, p5_descendants, p5_other_parents, p5_depth_check)
 
 _NAME = r"lower(trim(regexp_replace(regexp_replace({0}, '\.(md|txt|yaml|yml|json)$', '', 'i'), '[_/\\]+', '-', 'g'), E' \t\r\n'))"
 
@@ -110,6 +115,9 @@ ORACLE = {
     + "SELECT d.node AS node_id, root AS root_id, depth, path, n AS n_descendants FROM down d JOIN sizes s ON s.node = d.node UNION ALL SELECT node, root, -1, NULL, NULL FROM below",
     "p5_descendants": _TREE
     + "SELECT anc AS ancestor_id, node AS descendant_id FROM above WHERE anc <> node UNION ALL SELECT anc, node FROM reach WHERE anc <> node",
+    "p5_other_parents": """SELECT DISTINCT target_id AS child_id, source_id AS parent_id, kept AS kept_parent_id FROM edges
+JOIN (SELECT target_id, min(source_id) AS kept FROM edges WHERE edge_type = 'IMPLEMENTS' AND source_id IS NOT NULL GROUP BY 1) USING (target_id)
+WHERE edge_type = 'IMPLEMENTS' AND source_id <> kept""",
     "p5_depth_check": _TREE
     + """, tree AS (SELECT node, depth FROM down UNION ALL SELECT node, -1 FROM below)
 SELECT lineage_id, node_id, l.depth, t.depth AS actual_depth,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lorekiln.functions.tokens import FOLD_FROM, FOLD_TO, match_expression
 from lorekiln.operators import fusion, lexical, vectors
-from lorekiln.session import load
+from lorekiln.session import durable, load
 
 COLUMNS = ["content", "contextualized_content"]
 
@@ -53,12 +53,31 @@ def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
     return _out(lexical.keyword_search(_chunks(spark, sf), _asked(spark, sf), "chunk_id", COLUMNS, "query_id", "text", "ord", 8))
 
 
+def keyword_search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same search over the inverted index, whose tables are made first and then read alone."""
+    chunks = _chunks(spark, sf)
+    index, lengths = durable(lexical.postings(chunks, "chunk_id", COLUMNS)), durable(lexical.doc_lengths(chunks, "chunk_id", COLUMNS))
+    order = chunks.select(F.col("chunk_id").alias("id"), F.col("ord").alias("tie"))
+    return _out(lexical.index_search(index, lengths, _asked(spark, sf), "query_id", "text", order, 8))
+
+
+def keyword_phrase_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Headings as phrases, found by the positions that the inverted index holds."""
+    chunks = _chunks(spark, sf)
+    index, lengths = durable(lexical.postings(chunks, "chunk_id", COLUMNS)), durable(lexical.doc_lengths(chunks, "chunk_id", COLUMNS))
+    order = chunks.select(F.col("chunk_id").alias("id"), F.col("ord").alias("tie"))
+    return _out(lexical.index_search(index, lengths, _headings(chunks), "query_id", "text", order, 8))
+
+
+def _headings(chunks: DataFrame) -> DataFrame:
+    last = F.regexp_replace(F.trim(F.element_at(F.split("heading_path", " > "), -1)), r"\s+", "_")
+    return chunks.filter("ord % 50 = 0 and heading_path is not null").select(F.col("ord").alias("query_id"), last.alias("text"))
+
+
 def keyword_phrase(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 search for headings as phrases: those of the chunks whose ord is divisible by 50."""
     chunks = _chunks(spark, sf)
-    last = F.regexp_replace(F.trim(F.element_at(F.split("heading_path", " > "), -1)), r"\s+", "_")
-    asked = chunks.filter("ord % 50 = 0 and heading_path is not null").select(F.col("ord").alias("query_id"), last.alias("text"))
-    return _out(lexical.keyword_search(chunks, asked, "chunk_id", COLUMNS, "query_id", "text", "ord", 8))
+    return _out(lexical.keyword_search(chunks, _headings(chunks), "chunk_id", COLUMNS, "query_id", "text", "ord", 8))
 
 
 def hash_embedding_buckets(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,7 +88,7 @@ def hash_embedding_buckets(spark: SparkSession, sf: str) -> DataFrame:
 
 def hash_search(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest chunks by hash embedding, top 8."""
-    return _out(fusion.hash_search(_chunks(spark, sf), _asked(spark, sf), "chunk_id", "content", "query_id", "text", "ord", 8))
+    return _out(vectors.hash_search(_chunks(spark, sf), _asked(spark, sf), "chunk_id", "content", "query_id", "text", "ord", 8))
 
 
 def _hybrid(spark: SparkSession, sf: str, k: int) -> DataFrame:
@@ -116,7 +135,7 @@ def vector_cosine_before(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = (
-    query_sanitise, bm25_term_stats, bm25_corpus_stats, bm25_postings, keyword_search, keyword_phrase, hash_embedding_buckets,
+    query_sanitise, bm25_term_stats, bm25_corpus_stats, bm25_postings, keyword_search, keyword_phrase, keyword_search_indexed, keyword_phrase_indexed, hash_embedding_buckets,
     hash_search, hybrid_search, context_for_query, vector_topk, vector_cosine_pairs, vector_cosine_before,
 )
 
@@ -215,3 +234,4 @@ SELECT chunk_id, round(CASE WHEN x IS NULL OR len(x) <> len(y) THEN 0 WHEN list_
     "vector_cosine_before": """WITH c AS (SELECT chunk_id, CAST(embedding AS DOUBLE[]) AS x, CAST(lag(embedding) OVER (PARTITION BY file_id ORDER BY ord, chunk_id) AS DOUBLE[]) AS y FROM chunks)
 SELECT chunk_id, round(CASE WHEN x IS NULL OR len(x) <> len(y) THEN 0 WHEN list_dot_product(x, x) = 0 OR list_dot_product(y, y) = 0 THEN 0 ELSE list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))) END, 6) AS score FROM c WHERE y IS NOT NULL""",
 }
+ORACLE |= {f"{name}_indexed": ORACLE[name] for name in ("keyword_search", "keyword_phrase")}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import threading
 from collections import defaultdict
 from pathlib import Path
@@ -23,7 +24,10 @@ def scan_vault(spark: SparkSession, vault_dir: str, with_content: bool = True) -
     """
     if not _exists(spark, vault_dir):
         return spark.createDataFrame([], _SCANNED)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(vault_dir)
+    return _scanned(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(vault_dir), vault_dir, with_content)
+
+
+def _scanned(files: DataFrame, vault_dir: str, with_content: bool) -> DataFrame:
     text = F.decode("content", "UTF-8") if with_content else F.lit(None).cast("string")
     return files.filter(F.col("path").rlike(NOTE)).select(relative(vault_dir).alias("path"), F.floor(F.unix_micros("modificationTime") / 1000).alias("mtime_ms"), F.col("length").alias("size"), text.alias("content"))
 
@@ -53,7 +57,16 @@ def read_note(spark: SparkSession, vault_dir: str, path: str) -> DataFrame:
     full, rel = safe_path(vault_dir, path)
     if not full.is_file():
         raise FileNotFoundError(rel)
-    return scan_vault(spark, vault_dir).filter(F.col("path") == rel)
+    return scan_note(spark, vault_dir, rel)
+
+
+def scan_note(spark: SparkSession, vault_dir: str, rel: str) -> DataFrame:
+    """``scan_vault`` of one note by its relative path: no other file is listed or read; empty if it is missing."""
+    at = f"{vault_dir.rstrip('/')}/{rel}"
+    if not _exists(spark, at):
+        return spark.createDataFrame([], _SCANNED)
+    escaped = re.sub(r"([\\*?\[\]{}])", r"\\\1", at)
+    return _scanned(spark.read.format("binaryFile").load(escaped), vault_dir, True)
 
 
 def safe_path(vault_dir: str, path: str) -> tuple[Path, str]:

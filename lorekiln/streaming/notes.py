@@ -8,16 +8,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lorekiln.config import Config
 from lorekiln.operators.ingest import ingest
+from lorekiln.session import durable
 from lorekiln.sources.vault import NOTE, relative
 
 _BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def note_stream(spark: SparkSession, vault_dir: str, files_per_batch: int = 1_000) -> DataFrame:
-    """New note files of a vault as they appear: (path, mtime, hash, chars)."""
+    """New note files of a vault as they appear: (path, mtime, hash, chars, size, content)."""
     raw = spark.readStream.format("binaryFile").schema(_BINARY).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(vault_dir)
     text = F.decode("content", "UTF-8")
-    return raw.filter(F.col("path").rlike(NOTE)).select(relative(vault_dir).alias("path"), F.col("modificationTime").alias("mtime"), F.sha2(text, 256).alias("hash"), F.length(text).alias("chars"))
+    return raw.filter(F.col("path").rlike(NOTE)).select(
+        relative(vault_dir).alias("path"), F.col("modificationTime").alias("mtime"), F.sha2(text, 256).alias("hash"), F.length(text).alias("chars"), F.col("length").alias("size"), text.alias("content")
+    )
 
 
 def changed_notes(notes: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -31,15 +34,14 @@ def notes_by_window(notes: DataFrame, window: str = "10 minutes", late: str = "1
 
 
 def stream_ingest(spark: SparkSession, config: Config, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Ingests the vault whenever files arrive; each micro-batch publishes one version if anything changed.
+    """Ingests note files as they arrive; each micro-batch publishes one version with the rows of its files.
 
-    The file source does not report edits of known files or deletions: the ingest that a batch starts compares the
-    whole vault by hash, so it finds those too.
+    The file source does not report edits of known files or deletions: a plain ``ingest`` now and then finds those.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            ingest(spark, config)
+        notes = batch.select("path", F.floor(F.unix_micros("mtime") / 1000).alias("mtime_ms"), "size", "content")
+        ingest(spark, config, notes=durable(notes))
 
     writer = note_stream(spark, config.vault_dir).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()

@@ -115,3 +115,59 @@ def test_questions_become_notes(spark, tmp_path):
     assert set(got) == {"A_b.md", "C_d.md"} and "One. Two." in got["A_b.md"] and "[[C_d]]" in got["A_b.md"] and "Three." in got["C_d.md"]
     (tmp_path / "t.json").write_text(json.dumps([{"id": "1", "category": "x", "query": "q", "expectedFiles": ["a"]}, {"id": "2", "expectedOwner": "o"}]))
     assert [r["expectedOwner"] for r in qa.read_ground_truth(spark, str(tmp_path / "t.json")).orderBy("id").collect()] == [None, "o"]
+
+
+def test_of_two_writers_one_publishes(spark, config):
+    ingest(spark, config)
+    store = Store(spark, config.store_dir)
+    entities, edges = store.read("entities"), store.read("edges")
+    store.publish({"entities": entities.limit(1)}, {}, base=1)
+    with pytest.raises(FileExistsError):
+        store.publish({"edges": edges.limit(0)}, {}, base=1)
+    assert store.versions() == [1, 2] and store.read("entities").count() == 1 and store.read("edges").count() == edges.count()
+
+
+def test_an_append_writes_the_rows_of_its_file(spark, config):
+    ingest(spark, config)
+    store = Store(spark, config.store_dir)
+    engine = Engine(spark, config)
+    engine.append_note("plain.txt", "A numbat digs under checkout notes.")
+    before, after = store.manifest(1), store.manifest(2)
+    for table in ("chunks", "postings", "doc_stats", "entity_chunk_map"):
+        assert after[table][: len(before[table])] == before[table] and len(after[table]) == len(before[table]) + 1
+    folder = f"{config.store_dir}/data/{after['chunks'][-1]}"
+    assert spark.read.parquet(f"{folder}/chunks").count() == 1 and spark.read.parquet(f"{folder}/doc_stats").count() == 1
+    assert engine.keyword_search("numbat").first()["file_path"] == "plain.txt" and store.read("chunks").count() == 4
+    assert store.read("doc_stats").count() == store.read("chunks").count()
+    answer = engine.answer("get_entity_lineage", "Checkout")
+    assert answer["found"] and [c["name"] for c in answer["tree"]["children"]] == ["payments"]
+    assert engine.answer("find_owner", "checkout")["has_owner"] and engine.answer("detect_conflicts", "ledger")["count"] == 1
+    assert engine.answer("impact_analysis", "check") == {"found": False, "suggestions": [{"name": "checkout", "type": "document"}]}
+    found = engine.graph_hybrid_search("numbat gateway").collect()
+    assert {r["file_path"] for r in found} >= {"plain.txt", "checkout.md"} and any(r["nth"] is None and r["content"] for r in found)
+
+
+def test_segments_are_written_together(spark, config, monkeypatch):
+    from lorekiln.sources import store as stores
+
+    monkeypatch.setattr(stores, "MOST_SEGMENTS", 2)
+    engine = Engine(spark, config)
+    ingest(spark, config)
+    for i in range(2):
+        engine.append_note("plain.txt", f"Line {i} of quokka.")
+    store = Store(spark, config.store_dir)
+    assert len(store.manifest()["chunks"]) == 1 and store.read("chunks").count() == 4
+    assert engine.keyword_search("quokka").count() == 1 and engine.keyword_search("gateway").count() == 1
+
+
+def test_chunks_get_the_context_of_their_note(spark, config):
+    def contextualizer(document, content):
+        if "WAL" in content:
+            raise OSError("down")
+        return f"From a note of {len(document)} characters."
+
+    ingest(spark, config, contextualizer=contextualizer)
+    rows = {r["content"]: r["contextualized_content"] for r in Store(spark, config.store_dir).read("chunks").collect()}
+    assert rows["WAL mode concurrency matters here."] is None
+    assert rows["A plain note about tsconfig strict mode."] == "From a note of 40 characters.\n\nA plain note about tsconfig strict mode."
+    assert Engine(spark, config).keyword_search("characters").count() == 3
