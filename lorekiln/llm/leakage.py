@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from lorekiln.llm.automaton import SuffixAutomaton
 from lorekiln.session import durable
 
+#: Words of a block of items: its automaton takes some 0.9 KB a word on the driver and in every Python worker.
+BLOCK_WORDS = 200_000
 #: A word with its combining marks, if they stand apart.
 TOKEN = re.compile(r"(?:[^\W_][\u0300-\u036f]*)+")
 _MARKS = re.compile(r"[\u0300-\u036f]+")
@@ -90,6 +92,25 @@ def _runs(ids: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
             yield int(start), int(stop)
 
 
+def _matched(a: ItemAutomaton, numbers: _Ids, words: list[str]) -> dict[object, list]:
+    """For each item met in a text: the longest match, and the stretches [first, last] of matches of ``least`` words."""
+    found: dict[object, list] = {}
+    if len(words) < a.least:
+        return found
+    ids = np.fromiter((numbers[w] for w in words), dtype=np.int32, count=len(words))
+    for start, stop in _runs(ids, a.least):
+        for position, matched, items in a.matches(ids[start:stop].tolist()):
+            first, last = start + position - a.least + 1, start + position
+            for item in items:
+                mine = found.setdefault(item, [0, []])
+                mine[0] = max(mine[0], matched)
+                if mine[1] and mine[1][-1][1] >= first - 1:
+                    mine[1][-1][1] = last
+                else:
+                    mine[1].append([first, last])
+    return found
+
+
 def _scan(texts: DataFrame, automaton: ItemAutomaton) -> DataFrame:
     """(id, item_id, longest, spans): spans are [first, last] word positions of each stretch, in text order."""
     shared = texts.sparkSession.sparkContext.broadcast(automaton)
@@ -100,21 +121,7 @@ def _scan(texts: DataFrame, automaton: ItemAutomaton) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = TOKEN.findall(text)
-                if len(words) < a.least:
-                    continue
-                ids = np.fromiter((numbers[w] for w in words), dtype=np.int32, count=len(words))
-                found: dict[object, list] = {}
-                for start, stop in _runs(ids, a.least):
-                    for position, matched, items in a.matches(ids[start:stop].tolist()):
-                        first, last = start + position - a.least + 1, start + position
-                        for item in items:
-                            mine = found.setdefault(item, [0, []])
-                            mine[0] = max(mine[0], matched)
-                            if mine[1] and mine[1][-1][1] >= first - 1:
-                                mine[1][-1][1] = last
-                            else:
-                                mine[1].append([first, last])
+                found = _matched(a, numbers, TOKEN.findall(text))
                 out += [(name, item, longest, stretches) for item, (longest, stretches) in found.items()]
             if out:
                 yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True)), schema=schema)
@@ -123,7 +130,7 @@ def _scan(texts: DataFrame, automaton: ItemAutomaton) -> DataFrame:
     return texts.mapInArrow(run, "id string, item_id string, longest int, spans array<array<int>>")
 
 
-def leaked_spans(documents: DataFrame, id_column: str, text_column: str, items: DataFrame, item_id: str, item_text: str, least: int = 12, block_words: int = 500_000) -> DataFrame:
+def leaked_spans(documents: DataFrame, id_column: str, text_column: str, items: DataFrame, item_id: str, item_text: str, least: int = 12, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, item_id, longest, spans): texts that hold ``least`` or more consecutive words of an item.
 
     ``spans`` are the word stretches [first, last] covered by such matches with the item; ``longest`` bounds the
@@ -134,23 +141,61 @@ def leaked_spans(documents: DataFrame, id_column: str, text_column: str, items:
     most ``block_words`` words and the item that goes beyond; texts are never shuffled.
     """
     texts = documents.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text")).filter(F.length("text") >= 2 * least - 1)
-    found, held, size = None, [], 0
+    found = None
+    for automaton in _automata(items, item_id, item_text, least, block_words):
+        found = _with(found, _scan(texts, automaton))
+    return found
+
+
+def _automata(items: DataFrame, item_id: str, item_text: str, least: int, block_words: int) -> Iterator[ItemAutomaton]:
+    """One automaton for each block of items, at least one."""
+    held, size, made = [], 0, False
     for row in items.select(F.col(item_id).cast("string"), item_text).filter(F.col(item_text).isNotNull()).toLocalIterator():
         words = [plain(w) for w in TOKEN.findall(row[1])]
         if len(words) >= least:
             held.append((row[0], words))
             size += len(words)
         if size >= block_words:
-            found, held, size = _with(found, _scan(texts, ItemAutomaton(held, least))), [], 0
-    if held or found is None:
-        found = _with(found, _scan(texts, ItemAutomaton(held, least)))
-    return found
+            yield ItemAutomaton(held, least)
+            held, size, made = [], 0, True
+    if held or not made:
+        yield ItemAutomaton(held, least)
 
 
 def _with(found: DataFrame | None, more: DataFrame) -> DataFrame:
     return more if found is None else found.unionByName(more)
 
 
+def cleaned_texts(
+    documents: DataFrame, id_column: str, text_column: str, items: DataFrame, item_id: str, item_text: str, least: int = 12, max_words: int = 12, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """(id, text, removed_words, dropped): ``decontaminated`` by the matches of ``leaked_spans``, in the same scan.
+
+    Each block of items adds its stretches to the rows as they pass; nothing is shuffled or joined.
+    """
+    rows = documents.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text"), F.array().cast("array<array<int>>").alias("cuts"))
+    for automaton in _automata(items, item_id, item_text, least, block_words):
+        rows = _marked(rows, automaton, max_words)
+    return _cut(rows, max_words, max_coverage)
+
+
+def _marked(rows: DataFrame, automaton: ItemAutomaton, max_words: int) -> DataFrame:
+    """(id, text, cuts) with the stretches of one block of items added to ``cuts``."""
+    shared = rows.sparkSession.sparkContext.broadcast(automaton)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = shared.value
+        numbers = _Ids(a.vocabulary)
+        for batch in batches:
+            cuts = []
+            for text, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found = _matched(a, numbers, TOKEN.findall(text or ""))
+                cuts.append(known + [s for _, stretches in found.values() for s in stretches if s[1] - s[0] + 1 >= max_words])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, pa.list_(pa.list_(pa.int32())))], names=["id", "text", "cuts"])
+
+    return rows.mapInArrow(run, "id string, text string, cuts array<array<int>>")
+
+
 def decontaminated(documents: DataFrame, id_column: str, text_column: str, found: DataFrame, max_words: int = 12, max_coverage: float = 0.5) -> DataFrame:
     """(id, text, removed_words, dropped): texts without the leaked stretches of ``found``.
 
@@ -160,11 +205,20 @@ def decontaminated(documents: DataFrame, id_column: str, text_column: str, found
     cuts = durable(found.select("id", F.explode("spans").alias("span")).groupBy("id").agg(F.collect_set("span").alias("cuts")))
     rows = documents.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text")).join(cuts, "id", "left")
     touched, clean = rows.filter("cuts is not null"), rows.filter("cuts is null")
+    cut = _cut(touched.select("id", "text", "cuts"), max_words, max_coverage)
+    return cut.unionByName(clean.select("id", "text", F.lit(0).alias("removed_words"), F.lit(False).alias("dropped")))
+
+
+def _cut(rows: DataFrame, max_words: int, max_coverage: float) -> DataFrame:
+    """Cuts the stretches ``cuts`` out of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for name, text, cuts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if not cuts or text is None:
+                    out.append((name, text, 0, False))
+                    continue
                 at = [m.span() for m in TOKEN.finditer(text)]
                 gone = np.zeros(len(at), dtype=bool)
                 for first, last in cuts:
@@ -180,5 +234,4 @@ def decontaminated(documents: DataFrame, id_column: str, text_column: str, found
                 yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True)), schema=schema)
 
     schema = pa.schema([("id", pa.string()), ("text", pa.string()), ("removed_words", pa.int32()), ("dropped", pa.bool_())])
-    cut = touched.select("id", "text", "cuts").mapInArrow(run, "id string, text string, removed_words int, dropped boolean")
-    return cut.unionByName(clean.select("id", "text", F.lit(0).alias("removed_words"), F.lit(False).alias("dropped")))
+    return rows.mapInArrow(run, "id string, text string, removed_words int, dropped boolean")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -27,26 +28,36 @@ FIT_TOKENS = 65_536
 #: Parts of the hash range in which documents of one source and length are ranked.
 RANK_PARTS = 256
 
-_encoders: dict[str, object] = {}
+_encoders: dict[int, object] = {}
 
 
 def _encoder(path: str) -> object:
-    if path not in _encoders:
+    """The encoder of a rank file."""
+    return _made(Path(path).read_bytes())
+
+
+def _made(ranks: bytes) -> object:
+    """The encoder of a rank file's contents, made once a process."""
+    key = hash(ranks)
+    if key not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _encoders[path] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        parsed = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
+        _encoders[key] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=parsed, special_tokens={})
+    return _encoders[key]
 
 
 def token_counts(documents: DataFrame, id_column: str, text_column: str, source: Column, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(id, source, n_tokens) of every text that is not null or blank; markup for special tokens is plain text."""
+    """(id, source, n_tokens) of every text that is not null or blank; markup for special tokens is plain text.
+
+    The rank file (a few megabytes at most) is read on the driver and broadcast, so executors need no such file.
+    """
     rows = documents.select(F.col(id_column).cast("string").alias("id"), source.alias("source"), F.col(text_column).alias("text"))
     rows = rows.filter(F.col("text").rlike(r"\S"))
+    ranks = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer).encode_ordinary
+        encode = _made(ranks.value).encode_ordinary
         for batch in batches:
             sizes = [len(encode(t)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["id", "source", "n_tokens"])
@@ -105,19 +116,33 @@ def fitted(lengths: np.ndarray, counts: np.ndarray, budget: int, fit_tokens: int
     return taken
 
 
-def plan(histogram: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """(recipe, source, n_tokens, repeats, extra): whole repeats of a source, and of each length how many once more.
+def budgets(histogram: DataFrame, targets: DataFrame, total_tokens: int | None = None, keep_shares: bool = False) -> DataFrame:
+    """(recipe, source, target_share, max_repeats, there, share, budget, binding): what each source is to give.
 
-    A group of the grouped map is the length counts of one source: as many rows as it has distinct lengths, however
-    many documents. A recipe's total is ``total_tokens``, or all tokens of its listed sources; shares are taken
-    relative to their sum. A source that cannot give its budget within its repeats gives all it may.
+    ``share`` is the target relative to the sum of the recipe's. A recipe's total is ``total_tokens``, or all tokens of
+    its listed sources. With ``keep_shares`` sources without documents have no share, and the total is lowered to what
+    the scarcest source can give within its repeats (``binding``), so that every share holds.
     """
     sizes = histogram.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("held")).alias("there"))
     goals = targets.join(sizes, "source", "left").withColumn("there", F.coalesce("there", F.lit(0)))
     every = Window.partitionBy("recipe")
+    counted = F.when((F.col("there") > 0) | F.lit(not keep_shares), F.col("target_share")).otherwise(0.0)
+    goals = goals.withColumn("share", F.coalesce(F.try_divide(counted, F.sum(counted).over(every)), F.lit(0.0)))
     total = F.sum("there").over(every) if total_tokens is None else F.lit(total_tokens)
-    goals = goals.withColumn("budget", F.round(total * F.col("target_share") / F.sum("target_share").over(every)).cast("long"))
-    goals = goals.filter("there > 0").select("recipe", "source", "there", "budget", "max_repeats")
+    most = F.when(F.col("share") > 0, F.floor(F.col("there") * F.col("max_repeats") / F.col("share")))
+    goals = goals.withColumns({"total": total, "most": most}).withColumn("least", F.min("most").over(every))
+    binding = F.coalesce((F.col("most") == F.col("least")) & (F.col("least") < F.col("total")), F.lit(False))
+    kept = F.least("total", "least") if keep_shares else F.col("total")
+    return goals.select("recipe", "source", "target_share", "max_repeats", "there", "share", F.round(kept * F.col("share")).cast("long").alias("budget"), binding.alias("binding"))
+
+
+def plan(histogram: DataFrame, targets: DataFrame, total_tokens: int | None = None, keep_shares: bool = False) -> DataFrame:
+    """(recipe, source, n_tokens, repeats, extra): whole repeats of a source, and of each length how many once more.
+
+    A group of the grouped map is the length counts of one source: as many rows as it has distinct lengths, however
+    many documents. A source that cannot give its budget within its repeats gives all it may.
+    """
+    goals = budgets(histogram, targets, total_tokens, keep_shares).filter("there > 0").select("recipe", "source", "there", "budget", "max_repeats")
 
     def fit(goal: pd.DataFrame, lengths: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -131,12 +156,14 @@ def plan(histogram: DataFrame, targets: DataFrame, total_tokens: int | None = No
     return goals.groupBy("source").cogroup(histogram.groupBy("source")).applyInPandas(fit, "recipe string, source string, n_tokens long, repeats long, extra long")
 
 
-def mixture(documents: DataFrame, targets: DataFrame, id_column: str = "doc_id", text_column: str = "text", total_tokens: int | None = None, tokenizer: str = TOKENIZER, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mixture(documents: DataFrame, targets: DataFrame, id_column: str = "doc_id", text_column: str = "text", total_tokens: int | None = None, tokenizer: str = TOKENIZER, seed: int = 17, keep_shares: bool = False) -> tuple[DataFrame, DataFrame]:
     """Documents of each recipe with their repeats, and the shares that came of it.
 
     ``targets`` (recipe, source, target_share, max_repeats) names at most some thousand sources. Sources compare by
     ``source_key``. First result: (recipe, id, source, n_tokens, repeats), repeats of at least 1 and at most
-    max_repeats. Second: (recipe, source, target_share, target_tokens, actual_tokens, actual_share, n_documents).
+    max_repeats. Second: (recipe, source, target_share, target_tokens, actual_tokens, actual_share, n_documents, binding).
+    The budget is the largest total at which every share holds if ``keep_shares``, else ``total_tokens`` or all tokens
+    of the listed sources, of which scarce sources give what they may; ``binding`` marks the scarcest.
     Listed sources without documents have actual share 0; documents of null or unlisted sources, null and blank
     texts are in no mixture; a repeated row counts as one more document. A null or negative share counts as 0, a
     null or negative max_repeats as 0, a repeated target counts once (greatest share). Extra columns are ignored;
@@ -149,7 +176,7 @@ def mixture(documents: DataFrame, targets: DataFrame, id_column: str = "doc_id",
     texts = texts.join(F.broadcast(wanted.select("source").distinct()), "source", "left_semi")
     sized = durable(token_counts(texts, "id", "text", F.col("source"), tokenizer))
     histogram = durable(sized.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("held")))
-    takes = durable(plan(histogram, wanted, total_tokens))
+    takes = durable(plan(histogram, wanted, total_tokens, keep_shares))
 
     # Rank in the seeded order of one source and length: by part of the hash range, then inside the part.
     order = F.xxhash64(F.lit(seed), "id")
@@ -166,11 +193,9 @@ def mixture(documents: DataFrame, targets: DataFrame, id_column: str = "doc_id",
     gained = takes.join(histogram, ["source", "n_tokens"]).groupBy("recipe", "source").agg(
         F.sum(F.col("n_tokens") * (F.col("repeats") * F.col("held") + F.col("extra"))).alias("actual_tokens"),
         F.sum(F.when(F.col("repeats") > 0, F.col("held")).otherwise(F.col("extra"))).alias("n_documents"),
-        F.sum(F.col("n_tokens") * F.col("held")).alias("there"),
     )
     every = Window.partitionBy("recipe")
-    shares = wanted.join(gained, ["recipe", "source"], "left").fillna(0, ["actual_tokens", "n_documents", "there"])
-    total = F.sum("there").over(every) if total_tokens is None else F.lit(total_tokens)
-    shares = shares.withColumn("target_tokens", F.round(total * F.try_divide("target_share", F.sum("target_share").over(every))).cast("long"))
+    shares = budgets(histogram, wanted, total_tokens, keep_shares).withColumnRenamed("budget", "target_tokens")
+    shares = shares.join(gained, ["recipe", "source"], "left").fillna(0, ["actual_tokens", "n_documents"])
     shares = shares.withColumn("actual_share", F.coalesce(F.try_divide("actual_tokens", F.sum("actual_tokens").over(every)), F.lit(0.0)))
-    return chosen, shares.select("recipe", "source", "target_share", "target_tokens", "actual_tokens", "actual_share", "n_documents")
+    return chosen, shares.select("recipe", "source", "target_share", "target_tokens", "actual_tokens", "actual_share", "n_documents", "binding")

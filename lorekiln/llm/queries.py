@@ -84,7 +84,7 @@ def p6_items(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     """All documents without the leaked passages; those that are mostly leaked are dropped."""
-    cleaned = lk.decontaminated(load(spark, sf, "documents"), "doc_id", "text", durable(_leaks(spark, sf)))
+    cleaned = lk.cleaned_texts(load(spark, sf, "documents"), "doc_id", "text", load(spark, sf, "eval_items"), "item_id", "text")
     return cleaned.select(F.col("id").cast("bigint").alias("doc_id"), "text", "removed_words", "dropped")
 
 
@@ -96,7 +96,23 @@ def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Target and actual shares of every source of each recipe."""
-    return mx.mixture(load(spark, sf, "documents"), load(spark, sf, "mix_targets"))[1]
+    return mx.mixture(load(spark, sf, "documents"), load(spark, sf, "mix_targets"))[1].drop("binding")
+
+
+def p7_exact_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for the largest mixture in which every source with documents keeps its share, and which source binds it."""
+    return mx.mixture(load(spark, sf, "documents"), load(spark, sf, "mix_targets"), keep_shares=True)[1]
+
+
+def p7_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each recipe's mixture: documents beyond their repeats, of unlisted sources, taken twice as rows; sources listed."""
+    targets = load(spark, sf, "mix_targets").select("recipe", mx.source_key(F.col("source")).alias("source"), "max_repeats")
+    chosen, _ = mx.mixture(load(spark, sf, "documents"), load(spark, sf, "mix_targets"))
+    rows = chosen.join(targets, ["recipe", "source"], "left")
+    over, unlisted = F.count_if(F.col("repeats") > F.col("max_repeats")), F.count_if(F.col("max_repeats").isNull())
+    found = rows.groupBy("recipe").agg(over.alias("over_repeats"), unlisted.alias("unlisted"), (F.count(F.lit(1)) - F.count_distinct("id")).alias("twice"))
+    listed = targets.groupBy("recipe").agg(F.count_distinct("source").alias("sources"))
+    return listed.join(found, "recipe", "left")
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,5 +123,5 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (p1_found, p1_groups, p2_found, p2_search, p2_nearest, p4_found, p4_pieces, p6_found, p6_items, p6_cleaned, p7_mixture, p7_shares, p8_found)
+        for f in (p1_found, p1_groups, p2_found, p2_search, p2_nearest, p4_found, p4_pieces, p6_found, p6_items, p6_cleaned, p7_mixture, p7_shares, p7_exact_shares, p7_invariants, p8_found)
     }

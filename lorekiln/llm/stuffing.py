@@ -73,9 +73,11 @@ class Segment:
         return sum(map(len, self.words)) + sum(map(len, self.target))
 
 
-def _size(words: list[str]) -> float:
-    """Number of words, those of scripts without blanks estimated."""
-    return sum(max(1.0, len(_UNSPACED.findall(w)) / 2) if not w.isascii() else 1.0 for w in words)
+def _size(words: list[str], text: str) -> float:
+    """Number of the words of a text, those of scripts without blanks estimated."""
+    if text.isascii() or not _UNSPACED.search(text):
+        return len(words)
+    return sum(max(1.0, len(_UNSPACED.findall(w)) / 2) for w in words)
 
 
 def _blocks(text: str) -> Iterator[str]:
@@ -113,14 +115,14 @@ def segments(text: str) -> list[Segment]:
     for number, block in enumerate(_blocks(text), 1):
         for sentence in _STOPS.split(block):
             words = WORD.findall(_TARGET.sub(" ", sentence).lower())
-            if _size(words) >= CLAUSE_WORDS and not _listed(sentence, words) and WORD.search(_WHOLE_LINK.sub("", sentence)):
+            if _size(words, sentence) >= CLAUSE_WORDS and not _listed(sentence, words) and WORD.search(_WHOLE_LINK.sub("", sentence)):
                 out.append(Segment(words, "clause", block=number))
                 continue
             for part in _PARTS.split(sentence):
                 shown, _, target = part.partition("\x03")
                 words, behind = WORD.findall(shown.lower()), tuple(target.split())
                 if words or behind:
-                    long = _size(words) > (LINK_WORDS if behind else ITEM_WORDS)
+                    long = _size(words, shown) > (LINK_WORDS if behind else ITEM_WORDS)
                     layout = "link" if behind else "mark" if "\x01" in sentence else "item"
                     out.append(Segment(words, "clause" if long else "item", layout, behind, number))
     return [*out, Segment(code, "none")] if code else out
@@ -139,14 +141,14 @@ def _front(text: str) -> list[Segment]:
             out.append(Segment(words, "none"))
         for part in inner.split(","):
             if words := WORD.findall(part.lower()):
-                out.append(Segment(words, "item" if _size(words) <= ITEM_WORDS else "clause", "front"))
+                out.append(Segment(words, "item" if _size(words, part) <= ITEM_WORDS else "clause", "front"))
     return out
 
 
 def _listed(sentence: str, words: list[str]) -> bool:
     """Whether a segment is cut by separators into pieces too short to be clauses."""
     pieces = [p for p in _PARTS.split(_TARGET.sub("", sentence)) if p.strip()]
-    return len(pieces) > RUN_ITEMS and _size(words) / len(pieces) < ITEM_WORDS
+    return len(pieces) > RUN_ITEMS and _size(words, sentence) / len(pieces) < ITEM_WORDS
 
 
 def _symbols(parts: list[Segment]) -> tuple[list[int], list[int]]:
@@ -218,8 +220,9 @@ def measured(text: str, limit: float = 0.5) -> tuple[int, int, float]:
     total = sum(s.chars for s in parts)
     if not total:
         return 0, 0, 0.0
-    counts = Counter("0" if w.isdigit() else w for s in parts for w in (*s.words, *s.target))
-    most = sum(s.chars if s.kind == "item" else sum(len(w) for w in s.words if w.isdigit() or counts[w] >= REPEATS) for s in parts if s.kind != "none")
+    counts = Counter(w for s in parts for w in (*s.words, *s.target))
+    loose = Counter(w for s in parts if s.kind == "clause" for w in (*s.words, *s.target))
+    most = sum(s.chars for s in parts if s.kind == "item") + sum(len(w) * n for w, n in loose.items() if counts[w] >= REPEATS or w.isdigit())
     if most <= limit * total:
         return total, 0, 0.0
     _settle(parts)

@@ -66,3 +66,15 @@ def test_very_long_text(spark):
     long = " ".join(f"v{i}" for i in range(100_000))
     found = lk.leaked_spans(frame(spark, [(1, long)]), "doc", "body", frame(spark, [(2, long)]), "doc", "body").first()
     assert found["longest"] == 100_000 and found["spans"] == [[0, 99_999]]
+
+
+@pytest.mark.parametrize("block_words", [500_000, 30])
+def test_cleaning_in_one_scan_is_the_same(spark, block_words):
+    item = " ".join(f"w{i}" for i in range(20))
+    other = " ".join(f"v{i}" for i in range(30))
+    docs = [(1, f"Before it. {item}! After {other}; " + "z " * 80), (2, item), (3, "clean"), (4, None), (5, ""), (1, f"{item}! After " + "z " * 40)]
+    items = frame(spark, [(7, item), (7, item), (8, other)])
+    got = lk.cleaned_texts(frame(spark, docs), "doc", "body", items, "doc", "body", block_words=block_words).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(
+        [("1", "Before it. ! After ; " + "z " * 80, 50, False), ("2", None, 20, True), ("3", "clean", 0, False), ("4", None, 0, False), ("5", "", 0, False), ("1", "! After " + "z " * 40, 20, False)], key=str
+    )

@@ -18,6 +18,7 @@ COLUMNS = {
     "p6_cleaned": ["doc_id", "text", "removed_words", "dropped"],
     "p7_mixture": ["recipe", "doc_id", "source", "n_tokens", "repeats"],
     "p7_shares": ["recipe", "source", "target_share", "target_tokens", "actual_tokens", "actual_share", "n_documents"],
+    "p7_exact_shares": ["recipe", "source", "target_share", "target_tokens", "actual_tokens", "actual_share", "n_documents", "binding"],
     "p8_found": ["doc_id"],
 }
 

@@ -77,3 +77,13 @@ def test_tokens_are_exact(spark):
     got = mx.token_counts(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), "doc_id", "text", F.col("source")).collect()
     assert {int(r["id"]): r["n_tokens"] for r in got} == {i: len(encode.encode_ordinary(t)) for i, t in enumerate(texts)}
     assert all(encode.decode(encode.encode_ordinary(t)) == t for t in texts)
+
+
+def test_the_largest_total_keeps_every_share(spark):
+    rows = [(i, "word " * 50, "small" if i < 4 else "large") for i in range(400)]
+    wanted = targets(spark, [("r", "small", 0.25, 3), ("r", "large", 0.5, 2), ("r", "absent", 0.25, 5)])
+    chosen, shares = mx.mixture(docs(spark, rows), wanted, keep_shares=True)
+    got = {r["source"]: r for r in shares.collect()}
+    assert got["small"]["binding"] and not got["large"]["binding"] and got["absent"]["actual_tokens"] == 0
+    assert {r["repeats"] for r in chosen.filter("source = 'small'").collect()} == {3}
+    assert got["small"]["actual_share"] == pytest.approx(1 / 3, abs=0.02) and got["large"]["actual_share"] == pytest.approx(2 / 3, abs=0.02)
