@@ -13,11 +13,17 @@ OWNER_EDGE = ("owner", "OWNED_BY", 1.0)
 METADATA = ("title", "status", "version", "tags", "owner", "description", "team")
 ENTITY_TYPES = ("document", "service", "api", "schema", "team", "concept")
 PATH_TYPES = (("api", ("/api/", "openapi", "swagger")), ("service", ("/service/", "/svc/")), ("schema", ("/schema/", "/db/", "/database/")), ("team", ("/team/", "/owner/")))
+# Patterns of frontmatter, wikilinks and links to notes.
 FRONTMATTER = r"(?s)\A---[ \t]*\r?\n(.*?\r?\n)?---[ \t]*(?:\r?\n|\z)"
 WIKILINK = r"\[\[([^\]|#]+)(?:[|#][^\]]*)?\]\]"
 NOTE_LINK = r"(?i)\[[^\]]+\]\((?!https?://)([^)]+\.(?:md|txt))\)"
 
 
+INLINE_ITEM = r"""\s*"[^"]*"\s*|\s*'[^']*'\s*|[^,]+"""
+#: Plain scalars that are numbers or truth values.
+NUMBER, TRUTH = r"^-?(?:0|[1-9]\d*)(?:\.\d+)?$", r"(?i)^(?:true|false)$"
+
+
 def frontmatter(text: Column) -> Column:
     """The block between the opening and closing dashes, without them; empty if there is none."""
     return F.coalesce(F.regexp_extract(text, FRONTMATTER, 1), F.lit(""))
@@ -35,7 +41,8 @@ def field(block: Column, key: str) -> Column:
 
 def values(raw: Column) -> Column:
     """Scalar, ``[a, b]`` or ``- a`` lines as an array, quotes and blanks removed; empty values dropped."""
-    inline = F.split(F.regexp_replace(raw, r"^\[|\]$", ""), ",")
+    # a comma inside quotes separates nothing
+    inline = F.regexp_extract_all(F.regexp_replace(raw, r"^\[|\]$", ""), F.lit(INLINE_ITEM), F.lit(0))
     lines = F.split(raw, r"(?:^|\r?\n)[ \t]*- ")
     split = F.when(raw.startswith("["), inline).when(raw.rlike(r"(^|\n)[ \t]*- "), lines).otherwise(F.array(raw))
     return F.filter(F.transform(split, unquoted), lambda v: v != "")
@@ -77,12 +84,15 @@ def entity_type(block: Column, path: Column) -> Column:
 
 
 def metadata(block: Column) -> Column:
-    """JSON of the known fields that are present; a list stays a list."""
+    """JSON of the known fields that are present; a list stays a list, plain numbers and truth values stay such."""
     parts = []
     for key in METADATA:
         raw = field(block, key)
         listed = raw.startswith("[") | raw.rlike(r"(^|\n)[ \t]*- ")
-        text = F.when(listed, F.to_json(values(raw))).otherwise(F.regexp_replace(F.to_json(F.array(unquoted(raw))), r"^\[|\]$", ""))
+        text = F.regexp_replace(F.to_json(F.array(unquoted(raw))), r"^\[|\]$", "")
+        # a number without the zeros at its end
+        number = F.regexp_replace(F.regexp_replace(raw, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        text = F.when(listed, F.to_json(values(raw))).when(raw.rlike(NUMBER), number).when(raw.rlike(TRUTH), F.lower(raw)).otherwise(text)
         parts.append(F.when(raw != "", F.concat(F.lit(f'"{key}":'), text)))
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 

@@ -149,8 +149,16 @@ def _unq(v: str) -> str:
     return rf"""regexp_replace(regexp_replace({v}, '^{_W}+|{_W}+$', '', 'g'), '^["'']|["'']$', '', 'g')"""
 
 
+_ITEM = extraction.INLINE_ITEM.replace("'", "''")
+
+
+def _scalar(raw: str) -> str:
+    number = rf"regexp_replace(regexp_replace({raw}, '(\.\d*?)0+$', '\1'), '\.$', '')"
+    return rf"CASE WHEN regexp_matches({raw}, '{extraction.NUMBER}') THEN {number} WHEN regexp_matches({raw}, '{extraction.TRUTH}') THEN lower({raw}) ELSE CAST(to_json({_unq(raw)}) AS VARCHAR) END"
+
+
 def _values(raw: str) -> str:
-    parts = rf"CASE WHEN {raw} LIKE '[%' THEN string_split(regexp_replace({raw}, '^\[|\]$', '', 'g'), ',') WHEN regexp_matches({raw}, '(^|\n)[ \t]*- ') THEN string_split_regex({raw}, '(?:^|\r?\n)[ \t]*- ') ELSE [{raw}] END"
+    parts = rf"CASE WHEN {raw} LIKE '[%' THEN regexp_extract_all(regexp_replace({raw}, '^\[|\]$', '', 'g'), '{_ITEM}') WHEN regexp_matches({raw}, '(^|\n)[ \t]*- ') THEN string_split_regex({raw}, '(?:^|\r?\n)[ \t]*- ') ELSE [{raw}] END"
     return rf"list_filter(list_transform({parts}, lambda v: {_unq('v')}), lambda v: v <> '')"
 
 
@@ -166,7 +174,7 @@ def _typed(stated: str, path: str) -> str:
 
 
 _META = " || ".join(
-    f"CASE WHEN {_field(k)} = '' THEN '' ELSE ',\"{k}\":' || CASE WHEN {_listed(_field(k))} THEN CAST(to_json({_values(_field(k))}) AS VARCHAR) ELSE CAST(to_json({_unq(_field(k))}) AS VARCHAR) END END"
+    f"CASE WHEN {_field(k)} = '' THEN '' ELSE ',\"{k}\":' || CASE WHEN {_listed(_field(k))} THEN CAST(to_json({_values(_field(k))}) AS VARCHAR) ELSE {_scalar(_field(k))} END END"
     for k in extraction.METADATA
 )
 _ALL = (*extraction.FIELD_EDGES, extraction.OWNER_EDGE)

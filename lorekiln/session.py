@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -24,6 +24,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -33,6 +34,19 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
 #: Bytes from which a table in fewer files than there are cores is spread over them.
 SPREAD_BYTES = 2_000_000
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of a session, once. ``load`` and ``durable`` do so themselves."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        # made on the driver, from which Spark hands it to the workers
+        archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="spark-")) / package.name), "zip", package.parent, package.name)
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data directory.
@@ -40,10 +54,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     A table of few files may hold its rows in fewer row groups than there are cores; it is spread over the cores by
     one shuffle of the columns that are used. Large tables have files enough and are read as they lie.
     """
-    # Python workers find this package wherever the driver was started
-    found, root = spark.sparkContext.environment.get("PYTHONPATH", ""), str(Path(__file__).resolve().parents[1])
-    if root not in found.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [found, root]))
+    ship(spark)
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     cores = spark.sparkContext.defaultParallelism
     size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
@@ -54,14 +65,18 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a
-    temporary folder is made.
+    The folder is the session's ``spark.checkpoint.dir``; where that is unset a local session (tests) gets a temporary
+    folder, and any other is refused, as its executors share none. With
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` on, Spark removes a checkpoint once nothing refers to it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
+    ship(spark)
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR")))
+        if shared is None and not (context.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Field names of the two JSON formats.
 GROUND_TRUTH = (
     "id string, category string, query string, expectedFiles array<string>, expectedEntities array<string>, expectedPath array<string>, "
     "expectedOwner string, expectedConflicts array<string>, targetEntity string, description string"
