@@ -59,5 +59,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": _P4,
         "p6_found": f"WITH {_P6} SELECT DISTINCT doc_id, item_id FROM m",
         "p7_invariants": "SELECT recipe, CAST(0 AS BIGINT) AS over_repeats, CAST(0 AS BIGINT) AS unlisted, CAST(0 AS BIGINT) AS twice, count(DISTINCT lower(trim(source))) AS sources FROM mix_targets GROUP BY 1",
+        "p6_removed": f"""WITH {_P6}, c AS (SELECT DISTINCT doc_id, i + unnest(range(0, 12)) AS p FROM m), r AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1)
+SELECT doc_id, n AS removed_words, n > 0.5 * len(w) AS dropped FROM r JOIN w ON side = 0 AND id = doc_id""",
         "p6_items": f"WITH {_P6}, c AS (SELECT DISTINCT doc_id, item_id, i + unnest(range(0, 12)) AS p FROM m) SELECT item_id, count(DISTINCT doc_id) AS n_documents, count(*) AS n_words FROM c GROUP BY 1",
     }

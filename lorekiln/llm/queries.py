@@ -88,6 +88,11 @@ def p6_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return cleaned.select(F.col("id").cast("bigint").alias("doc_id"), "text", "removed_words", "dropped")
 
 
+def p6_removed(spark: SparkSession, sf: str) -> DataFrame:
+    """How many words cleaning takes out of each document that it changes, and whether it drops it."""
+    return p6_cleaned(spark, sf).filter("removed_words > 0").select("doc_id", F.col("removed_words").cast("bigint").alias("removed_words"), "dropped")
+
+
 def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
     """The documents of each recipe, with how often each is taken."""
     chosen, _ = mx.mixture(load(spark, sf, "documents"), load(spark, sf, "mix_targets"))
@@ -123,5 +128,5 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (p1_found, p1_groups, p2_found, p2_search, p2_nearest, p4_found, p4_pieces, p6_found, p6_items, p6_cleaned, p7_mixture, p7_shares, p7_exact_shares, p7_invariants, p8_found)
+        for f in (p1_found, p1_groups, p2_found, p2_search, p2_nearest, p4_found, p4_pieces, p6_found, p6_items, p6_cleaned, p6_removed, p7_mixture, p7_shares, p7_exact_shares, p7_invariants, p8_found)
     }
