@@ -64,6 +64,15 @@ class Engine:
         found = self._found(self._hybrid(query, k)).withColumnRenamed("chunk_id", "id")
         return graph.related_entities(found, *tables).withColumnRenamed("id", "chunk_id").orderBy("rank", "nth")
 
+    def chunks_of(self, path: str) -> DataFrame:
+        """The chunks of one note in their order."""
+        file = self._table("files").filter(F.col("path") == path).select("file_id")
+        return self._table("chunks").join(F.broadcast(file), "file_id").orderBy("chunk_index")
+
+    def chunk(self, chunk_id: str) -> DataFrame:
+        """One chunk by its id."""
+        return self._table("chunks").filter(F.col("chunk_id") == chunk_id)
+
     def read_note(self, path: str) -> DataFrame:
         return vault.read_note(self.spark, self.config.vault_dir, path)
 
@@ -95,15 +104,9 @@ class Engine:
         return named.select("name", "type", "path", F.round("influence", 4).alias("influence"), "depth").orderBy(F.desc("influence"), "name")
 
     def detect_conflicts(self, entity_name: str) -> DataFrame:
-        me = self._entity(entity_name).select(F.col("entity_id").alias("me"))
-        pairs, out = graph.conflicts(self._table("edges"), self._table("entities"), self._table("files")), None
-        # both orientations as equi-joins; a link of an entity with itself comes once
-        for mine, other in (("a", "b"), ("b", "a")):
-            rows = pairs.join(me, F.col(f"{mine}_entity_id") == F.col("me"))
-            rows = rows if mine == "a" else rows.filter("a_entity_id <> b_entity_id")
-            rows = rows.select(*[F.col(f"{other}_{c}").alias(f"with_{c}") for c in ("name", "type", "path")], "edge_type", "confidence")
-            out = rows if out is None else out.unionByName(rows)
-        return out.orderBy(F.desc("confidence"), "with_name")
+        pairs = graph.conflicts(self._table("edges"), self._table("entities"), self._table("files"))
+        rows = graph.touching(pairs, self._entity(entity_name).select("entity_id"))
+        return rows.select("with_name", "with_type", "with_path", "edge_type", "confidence").orderBy(F.desc("confidence"), "with_name")
 
     def get_entity_lineage(self, entity_name: str, max_depth: int = 4) -> DataFrame:
         if not 1 <= max_depth <= 6:

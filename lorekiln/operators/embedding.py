@@ -6,6 +6,7 @@ import re
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +48,10 @@ class HashProvider:
         return out
 
 
-def embedded(rows: DataFrame, id_column: str, text_column: str, dim: int, provider: Provider | None = None, model: str = "", group: int = 10, pause_s: float = 30.0) -> DataFrame:
+def embedded(rows: DataFrame, id_column: str, text_column: str, dim: int, provider: Provider | None = None, model: str = "", group: int = 10, pause_s: float = 30.0, workers: int = 4) -> DataFrame:
     """(id, embedding, embedding_model): vectors of texts in groups of ``group``; a blank text has none.
 
-    After a failure of the provider its task uses the hash embedding for ``pause_s`` seconds. The model recorded is
+    A task asks the provider for up to ``workers`` groups at a time. After a failure of the provider its task uses the hash embedding for ``pause_s`` seconds. The model recorded is
     the one that made the vector.
     """
     texts = rows.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
@@ -62,16 +63,22 @@ def embedded(rows: DataFrame, id_column: str, text_column: str, dim: int, provid
             vectors: list = [None] * len(texts)
             models: list = [None] * len(texts)
             wanted = [i for i, t in enumerate(texts) if t.strip()]
-            for at in range(0, len(wanted), group):
-                some, made, name = wanted[at : at + group], None, HASH_MODEL
+            groups = [wanted[at : at + group] for at in range(0, len(wanted), group)]
+
+            def made(some: list[int], texts: list[str] = texts) -> list | None:
+                nonlocal closed_until
                 if provider and time.monotonic() >= closed_until:
                     try:
-                        made, name = provider([texts[i] for i in some]), model
+                        return provider([texts[i] for i in some])
                     except Exception:  # noqa: BLE001 - whatever fails remotely, the text is embedded locally
                         closed_until = time.monotonic() + pause_s
-                made = made if made is not None else spare([texts[i] for i in some])
-                for i, v in zip(some, made, strict=True):
-                    vectors[i], models[i] = v, (name if made is not None else HASH_MODEL)
+                return None
+
+            with ThreadPoolExecutor(workers) as pool:
+                answers = list(pool.map(made, groups)) if provider else [None] * len(groups)
+            for some, answer in zip(groups, answers, strict=True):
+                for i, v in zip(some, spare([texts[i] for i in some]) if answer is None else answer, strict=True):
+                    vectors[i], models[i] = v, HASH_MODEL if answer is None else model
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float32())), pa.array(models, pa.string())], names=["id", "embedding", "embedding_model"])
 
     return texts.mapInArrow(run, f"id {dict(texts.dtypes)['id']}, embedding array<float>, embedding_model string")

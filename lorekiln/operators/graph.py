@@ -112,6 +112,21 @@ def conflicts(edges: DataFrame, entities: DataFrame, files: DataFrame) -> DataFr
     return rows.select("a_entity_id", "a_name", "a_type", "a_path", "b_entity_id", "b_name", "b_type", "b_path", "edge_type", "confidence")
 
 
+def touching(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(me, with_entity_id, with_name, with_type, with_path, edge_type, confidence): pairs of ``conflicts`` at either end of
+    which an asked entity stands; a link of an entity with itself comes once.
+
+    The two orientations are equi-joins; an OR over both ends would compare all with all.
+    """
+    me, out = asked.select(F.col(asked.columns[0]).alias("me")).distinct(), None
+    for mine, other in (("a", "b"), ("b", "a")):
+        rows = pairs.join(me, F.col(f"{mine}_entity_id") == F.col("me"))
+        rows = rows if mine == "a" else rows.filter("a_entity_id <> b_entity_id")
+        rows = rows.select("me", *[F.col(f"{other}_{c}").alias(f"with_{c}") for c in ("entity_id", "name", "type", "path")], "edge_type", "confidence")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def owners(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """(entity_id, owner_id, owner, confidence): the most trusted owner of each entity; ties to the smaller id."""
     owned = edges.filter("edge_type = 'OWNED_BY'").select("source_id", "target_id", "confidence")

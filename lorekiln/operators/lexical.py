@@ -66,7 +66,7 @@ def _sequences(words: Column, m: int) -> Column:
 
 def phrase_hits(docs: DataFrame, id_column: str, columns: list[str], wanted: DataFrame) -> DataFrame:
     """(id, phrase, f, dl): occurrences of each wanted phrase, all columns together, none across columns, and the
-    document's tokens.
+    document's tokens; and for each document one row of the empty phrase, so that one scan serves the corpus too.
 
     Documents give their word sequences of the lengths that occur among the phrases; only those that are asked for
     survive the join, before anything is shuffled if the phrases are few enough to broadcast.
@@ -79,8 +79,8 @@ def phrase_hits(docs: DataFrame, id_column: str, columns: list[str], wanted: Dat
     rows = docs.select(F.col(id_column).alias("id"), F.explode(F.array(split)).alias("split"))
     total = sum((F.size(F.col("split")[i]) for i in range(len(columns))), F.lit(0)).cast("bigint")
     parts = [_sequences(F.col("split")[i], m) for i in range(len(columns)) for m in lengths]
-    every = F.flatten(F.array(*parts)) if parts else F.array().cast("array<string>")
-    keys = distinct.select("phrase")
+    every = F.flatten(F.array(F.array(F.lit("")), *parts))
+    keys = distinct.select("phrase").unionByName(docs.sparkSession.createDataFrame([("",)], "phrase string"))
     found = rows.select("id", total.alias("dl"), F.explode(every).alias("phrase")).join(F.broadcast(keys) if few else keys, "phrase")
     return found.groupBy("id", "phrase").agg(F.count(F.lit(1)).alias("f"), F.first("dl").alias("dl"))
 
@@ -108,11 +108,13 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_column: str, columns: li
     Null texts have no tokens but count as documents. A query without terms has no rows.
     """
     wanted = phrases(queries, query_id, text)
-    return _scored(phrase_hits(docs, id_column, columns, wanted), corpus_stats(docs, id_column, columns), wanted)
+    hits = durable(phrase_hits(docs, id_column, columns, wanted))
+    # a repeated id counts as often as it stands there
+    stats = hits.filter("phrase = ''").agg(F.sum("f").alias("n"), (F.sum(F.col("f") * F.col("dl")) / F.sum("f")).alias("avgdl"))
+    return _scored(hits.filter("phrase != ''"), stats, wanted)
 
 
 def _scored(hits: DataFrame, stats: DataFrame, wanted: DataFrame) -> DataFrame:
-    hits = durable(hits)
     df = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     weighted = hits.join(df, "phrase").join(F.broadcast(stats.select("n", "avgdl")))
     f = F.col("f")
@@ -131,7 +133,7 @@ def index_search(index: DataFrame, lengths: DataFrame, queries: DataFrame, query
     """``keyword_search`` on a stored inverted index: ``postings``, ``doc_lengths`` and (id, tie), the arrival order."""
     wanted = phrases(queries, query_id, text)
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return _placed(_scored(index_hits(index, lengths, wanted), stats, wanted), order, k)
+    return _placed(_scored(durable(index_hits(index, lengths, wanted)), stats, wanted), order, k)
 
 
 def _placed(scores: DataFrame, order: DataFrame, k: int) -> DataFrame:

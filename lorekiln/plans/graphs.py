@@ -38,6 +38,18 @@ def khop_both(spark: SparkSession, sf: str) -> DataFrame:
     return _khop(spark, sf, "both")
 
 
+def khop_growing(spark: SparkSession, sf: str) -> DataFrame:
+    """Influence over two outgoing steps that may each grow (a decay of 2.5), so that simple paths are enumerated."""
+    reached = graph.khop(load(spark, sf, "edges"), _starts(spark, sf), "outgoing", max_k=2, gamma=2.5)
+    return reached.select("start_id", F.col("node_id").alias("entity_id"), F.round("influence", 6).alias("influence"), F.col("depth").cast("bigint").alias("depth"))
+
+
+def conflicts_touching(spark: SparkSession, sf: str) -> DataFrame:
+    """Conflicts and supersessions at either end of which a start node stands, seen from that node."""
+    pairs = graph.conflicts(load(spark, sf, "edges"), load(spark, sf, "entities"), load(spark, sf, "files"))
+    return graph.touching(pairs, load(spark, sf, "lineage_nodes").select("node_id"))
+
+
 def impact_analysis(spark: SparkSession, sf: str) -> DataFrame:
     """Names looked up without case, then influence in both directions to 4 places."""
     entities = load(spark, sf, "entities")
@@ -136,7 +148,7 @@ def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = (
-    khop_outgoing, khop_incoming, khop_both, impact_analysis, detect_conflicts, find_owner, entity_lookup_nocase, entity_search_like,
+    khop_outgoing, khop_incoming, khop_both, khop_growing, conflicts_touching, impact_analysis, detect_conflicts, find_owner, entity_lookup_nocase, entity_search_like,
     lineage_edges_bounded, lineage_tree, graph_hybrid_search, graph_counts, upsert_entities, upsert_edges, resolve_extracted_edges, cascade_delete,
 )
 
@@ -163,7 +175,16 @@ _KHOP = " SELECT start_id, node_id AS entity_id, name, type, path, round(influen
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _NAME = r"lower(trim(regexp_replace(regexp_replace({0}, '\.(md|txt|yaml|yml|json)$', '', 'i'), '[_/\\]+', '-', 'g'), E' \t\r\n'))"
 
+_PAIRS = """SELECT DISTINCT a.entity_id AS a_entity_id, a.name AS a_name, a.type AS a_type, fa.path AS a_path, b.entity_id AS b_entity_id, b.name AS b_name, b.type AS b_type, fb.path AS b_path, edge_type, confidence
+FROM edges e JOIN entities a ON a.entity_id = source_id JOIN entities b ON b.entity_id = target_id LEFT JOIN files fa ON fa.file_id = a.file_id LEFT JOIN files fb ON fb.file_id = b.file_id
+WHERE edge_type IN ('CONFLICTS_WITH', 'SUPERSEDES')"""
+
 ORACLE = {
+    "khop_growing": _walk("outgoing").replace("f * 0.6", "f * 2.5") + " SELECT start_id, node_id AS entity_id, round(influence, 6) AS influence, CAST(depth AS BIGINT) AS depth FROM best",
+    "conflicts_touching": f"""WITH p AS ({_PAIRS}), me AS (SELECT DISTINCT node_id AS me FROM lineage_nodes WHERE node_id IS NOT NULL)
+SELECT me, CASE WHEN a_entity_id = me THEN b_entity_id ELSE a_entity_id END AS with_entity_id, CASE WHEN a_entity_id = me THEN b_name ELSE a_name END AS with_name,
+  CASE WHEN a_entity_id = me THEN b_type ELSE a_type END AS with_type, CASE WHEN a_entity_id = me THEN b_path ELSE a_path END AS with_path, edge_type, confidence
+FROM p JOIN me ON a_entity_id = me OR b_entity_id = me""",
     "khop_outgoing": _walk("outgoing") + _KHOP,
     "khop_incoming": _walk("incoming") + _KHOP,
     "khop_both": _walk("both") + _KHOP,
@@ -171,9 +192,7 @@ ORACLE = {
         "both", f"starts AS (SELECT DISTINCT entity_id AS start_id FROM entities e JOIN lineage_nodes l ON lineage_id % 50 = 0 AND {_LOW.format('e.name')} = {_LOW.format('upper(l.name)')})"
     )
     + " SELECT start_id AS source_id, name, type, path, round(influence, 4) AS influence, CAST(depth AS BIGINT) AS depth FROM named WHERE rank <= 30",
-    "detect_conflicts": """SELECT DISTINCT a.entity_id AS a_entity_id, a.name AS a_name, a.type AS a_type, fa.path AS a_path, b.entity_id AS b_entity_id, b.name AS b_name, b.type AS b_type, fb.path AS b_path, edge_type, confidence
-FROM edges e JOIN entities a ON a.entity_id = source_id JOIN entities b ON b.entity_id = target_id LEFT JOIN files fa ON fa.file_id = a.file_id LEFT JOIN files fb ON fb.file_id = b.file_id
-WHERE edge_type IN ('CONFLICTS_WITH', 'SUPERSEDES')""",
+    "detect_conflicts": _PAIRS,
     "find_owner": """SELECT entity_id, owner_id, owner, confidence FROM (
   SELECT source_id AS entity_id, target_id AS owner_id, name AS owner, confidence, row_number() OVER (PARTITION BY source_id ORDER BY confidence DESC, target_id) AS r
   FROM edges JOIN entities t ON t.entity_id = target_id WHERE edge_type = 'OWNED_BY') WHERE r = 1""",

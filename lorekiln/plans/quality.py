@@ -112,7 +112,15 @@ def token_cost(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-QUERIES = (ranking_metrics, eval_by_category, set_f1, path_accuracy, blast_radius_f1, blast_radius_macro, conflict_owner_accuracy, latency_percentiles, token_cost)
+def index_amplification(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of the chunks' texts, of what the index keeps of them (texts, contexts, vectors), and their ratio."""
+    raw = F.coalesce(F.octet_length("content"), F.lit(0))
+    kept = raw + F.coalesce(F.octet_length("contextualized_content"), F.lit(0)) + F.coalesce(4 * F.greatest(F.size("embedding"), F.lit(0)), F.lit(0))
+    sums = load(spark, sf, "chunks").agg(F.count(F.lit(1)).alias("chunks"), F.sum(raw.cast("bigint")).alias("raw_bytes"), F.sum(kept.cast("bigint")).alias("index_bytes"))
+    return sums.withColumn("amplification", F.round(F.try_divide("index_bytes", "raw_bytes"), 2))
+
+
+QUERIES = (ranking_metrics, eval_by_category, set_f1, path_accuracy, blast_radius_f1, blast_radius_macro, conflict_owner_accuracy, latency_percentiles, token_cost, index_amplification)
 
 _NAME = r"lower(trim(regexp_replace(regexp_replace({0}, '\.(md|txt|yaml|yml|json)$', '', 'i'), '[_/\\]+', '-', 'g'), E' \t\r\n'))"
 
@@ -177,6 +185,9 @@ UNION ALL SELECT 'ownership_accuracy', count(*), count(*) FILTER (WHERE hit), ro
 SELECT event_type, count(*) AS n, round(min(value), 2) AS min, round(max(value), 2) AS max, round(avg(value), 2) AS mean, """
     + ", ".join(f"round(max(CASE WHEN i = least(n - 1, CAST(floor({p} * n / 100) AS BIGINT)) THEN value END), 2) AS p{p}" for p in (50, 95, 99))
     + " FROM r GROUP BY event_type",
+    "index_amplification": """WITH c AS (SELECT count(*) AS chunks, CAST(sum(coalesce(strlen(content), 0)) AS BIGINT) AS raw_bytes,
+  CAST(sum(coalesce(strlen(content), 0) + coalesce(strlen(contextualized_content), 0) + 4 * coalesce(len(embedding), 0)) AS BIGINT) AS index_bytes FROM chunks)
+SELECT chunks, raw_bytes, index_bytes, round(index_bytes / raw_bytes, 2) AS amplification FROM c""",
     "token_cost": """WITH c AS (SELECT CAST(ceil(sum(length(content)) / 4.0) AS BIGINT) AS t FROM chunks)
 SELECT 'zero_token' AS mode, CAST(0 AS BIGINT) AS tokens, CAST(0 AS DOUBLE) AS cost_usd FROM c UNION ALL SELECT 'openai_embedding_only', t, round(t / 1000000.0 * 0.02, 5) FROM c UNION ALL SELECT 'llm_graph_extract', t * 4, round(t * 4 / 1000000.0 * 0.3, 4) FROM c""",
 }

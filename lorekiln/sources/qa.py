@@ -39,3 +39,22 @@ def question_notes(questions: DataFrame, max_samples: int = 100) -> DataFrame:
     notes = rows.select(F.concat(name, F.lit(".md")).alias("path"), content.alias("content"), "n", "at")
     first = F.row_number().over(Window.partitionBy("path").orderBy("n", "at"))
     return notes.withColumn("r", first).filter("r = 1").select("path", "content")
+
+
+def question_truth(questions: DataFrame, max_samples: int = 100) -> DataFrame:
+    """The ground-truth items, in the fields of ``read_ground_truth``, of the first ``max_samples`` questions.
+
+    Expected are the notes of the passages that a question's facts come from, in the order of their first mention; a
+    bridge question counts as multi_hop, any other as single_hop. ``questions`` has n and the fields of ``QUESTIONS``.
+    """
+    titles = F.array_distinct(F.transform("supporting_facts", lambda f: f[0]))
+    rows = questions.filter(F.col("n") < max_samples)
+    fields = {
+        "id": F.col("_id"),
+        "category": F.when(F.col("type") == "bridge", "multi_hop").otherwise("single_hop"),
+        "query": F.col("question"),
+        "expectedFiles": F.transform(titles, lambda t: F.concat(clean_title(t), F.lit(".md"))),
+        "description": F.col("answer"),
+    }
+    kinds = dict(part.strip().split(" ", 1) for part in GROUND_TRUTH.split(", "))
+    return rows.select(*[fields.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in kinds.items()])

@@ -174,3 +174,27 @@ def test_depth_counts_weak_short_paths(spark):
     starts = spark.createDataFrame([("s",)], "id string")
     found = {x["node_id"]: (round(x["influence"], 9), x["depth"]) for x in graph.khop(edges, starts, "outgoing").collect()}
     assert found == {"x": (0.36, 1), "y": (0.6, 1), "s": (0.6, 1)}
+
+
+def test_found_chunks_without_an_entity_stay(spark):
+    ranked = spark.createDataFrame([(1, "c1", 1, 0.5), (1, "c2", 2, 0.4), (2, "c1", 1, 0.3)], "query_id int, id string, rank int, score double")
+    links = spark.createDataFrame([("e1", "c1"), ("e1", "c1"), ("e2", "c1"), ("gone", "c2")], "entity_id string, chunk_id string")
+    entities = spark.createDataFrame([("e1", "one", "api", "f1"), ("e2", "two", "team", None)], "entity_id string, name string, type string, file_id string")
+    files = spark.createDataFrame([("f1", "a/one.md")], "file_id string, path string")
+    edges = spark.createDataFrame([("e1", f"t{i}", "DEPENDS_ON", 0.1 * i) for i in range(6)], "source_id string, target_id string, edge_type string, weight double")
+    got = [tuple(r[c] for c in ("query_id", "id", "score", "nth", "entity_id", "path", "edge_type", "influence")) for r in graph.related_entities(ranked, links, entities, files, edges).orderBy("query_id", "rank", "nth").collect()]
+    lists = [("e1", "a/one.md", "DEPENDS_ON", pytest.approx(0.1 * i)) for i in range(5)]
+    assert got == [(1, "c1", 0.5, i + 1, *x) for i, x in enumerate(lists)] + [(1, "c2", 0.4, None, None, None, None, None)] + [(2, "c1", 0.3, i + 1, *x) for i, x in enumerate(lists)]
+
+
+def test_conflicts_are_seen_from_either_end(spark):
+    entities = spark.createDataFrame([(e, e.upper(), "document", None) for e in "abc"], "entity_id string, name string, type string, file_id string")
+    files = spark.createDataFrame([], "file_id string, path string")
+    edges = spark.createDataFrame([("a", "b", "CONFLICTS_WITH", 0.8), ("c", "a", "SUPERSEDES", 1.0), ("a", "a", "CONFLICTS_WITH", 0.2), ("a", "b", "DEPENDS_ON", 1.0)], "source_id string, target_id string, edge_type string, confidence double")
+    found = graph.touching(graph.conflicts(edges, entities, files), spark.createDataFrame([("a",), ("a",), ("x",)], "e string"))
+    assert sorted((r["me"], r["with_name"], r["edge_type"]) for r in found.collect()) == [("a", "A", "CONFLICTS_WITH"), ("a", "B", "CONFLICTS_WITH"), ("a", "C", "SUPERSEDES")]
+
+
+def test_other_parents_are_reported(spark):
+    links = spark.createDataFrame([("p", "x"), ("q", "x"), ("q", "x"), ("p", "y"), (None, "y"), ("x", "z")], "p string, c string")
+    assert [tuple(r) for r in hierarchy.other_parents(links, "p", "c").collect()] == [("x", "q", "p")]

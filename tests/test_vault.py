@@ -171,3 +171,13 @@ def test_chunks_get_the_context_of_their_note(spark, config):
     assert rows["WAL mode concurrency matters here."] is None
     assert rows["A plain note about tsconfig strict mode."] == "From a note of 40 characters.\n\nA plain note about tsconfig strict mode."
     assert Engine(spark, config).keyword_search("characters").count() == 3
+
+
+def test_questions_become_truth(spark):
+    rows = spark.createDataFrame(
+        [(0, "q1", "Which?", "That.", "bridge", [["A (b)", "0"], ["C d", "1"], ["A (b)", "2"]]), (1, "q2", "Who?", None, "other", []), (100, "q3", "Late?", "x", "bridge", [])],
+        "n int, _id string, question string, answer string, type string, supporting_facts array<array<string>>",
+    )
+    got = {r["id"]: r for r in qa.question_truth(rows).collect()}
+    assert set(got) == {"q1", "q2"} and got["q1"]["expectedFiles"] == ["A_b.md", "C_d.md"] and got["q1"]["category"] == "multi_hop"
+    assert got["q2"]["category"] == "single_hop" and got["q2"]["expectedFiles"] == [] and got["q2"]["expectedOwner"] is None
