@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekiln.session import durable
+from lorekiln.session import durable, next_round
 
 #: Siblings are ordered by (bucket, id); prefix sums run inside buckets and then over at most so many of them.
 SIBLING_BUCKETS = 1_024
@@ -34,14 +34,14 @@ def other_parents(links: DataFrame, parent: str, child: str) -> DataFrame:
 
 def _climb(state: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sizes upward: (node, up, size) of the trees, and (node, up) of what lies on or below cycles."""
-    state = durable(state.select("node", "up", F.col("up").alias("jump"), F.lit(1).cast("long").alias("size")))
+    state = next_round(state.select("node", "up", F.col("up").alias("jump"), F.lit(1).cast("long").alias("size")))
     active = state.filter("jump is not null").count()
     while active:
         # Descendants nearer than 2 * stride: those nearer than the stride, of the node and of all nodes a stride below.
         lower = state.filter("jump is not null").groupBy(F.col("jump").alias("node")).agg(F.sum("size").alias("more"))
         ahead = state.select(F.col("node").alias("jump"), F.col("jump").alias("next"))
         grown = state.join(lower, "node", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
-        state = durable(grown.join(ahead, "jump", "left").select("node", "up", F.col("next").alias("jump"), "size"))
+        state = next_round(grown.join(ahead, "jump", "left").select("node", "up", F.col("next").alias("jump"), "size"), state)
         left = state.filter("jump is not null").count()
         # Depths have no gaps: if none lies in this stride's range, what is left has no root.
         if left == active:
@@ -55,23 +55,25 @@ def _descend(trees: DataFrame, with_paths: bool) -> DataFrame:
 
     Roots are siblings like any other, so the ranges [pre, pre + size) of all trees stand side by side.
     """
-    above = F.coalesce("up", F.lit(""))
+    # roots have a parent of their own kind
+    above = F.when(F.col("up").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "up"))
     bucket = F.pmod(F.xxhash64("node"), F.lit(SIBLING_BUCKETS)).alias("bucket")
-    child = trees.select("node", F.struct(F.col("up").isNull().alias("top"), above.alias("up")).alias("of"), "size", bucket)
+    child = trees.select("node", above.alias("of"), "size", bucket)
     sums = child.groupBy("of", "bucket").agg(F.sum("size").alias("held"))
     earlier = Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("of", "bucket", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("base"))
     inside = Window.partitionBy("of", "bucket").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     child = child.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     # a child's range begins behind its parent's own number
-    offset = child.join(sums, ["of", "bucket"]).select("node", (F.col("base") + F.col("inner") + F.when(F.col("of.top"), 0).otherwise(1)).alias("pre"))
-    path = F.array("node") if with_paths else F.lit(None).cast("array<string>")
-    state = durable(trees.join(offset, "node").select("node", F.col("up").alias("jump"), "pre", path.alias("path")))
+    offset = child.join(sums, ["of", "bucket"]).select("node", (F.col("base") + F.col("inner") + F.when(F.col("of") == "-", 0).otherwise(1)).alias("pre"))
+    kept = ["path"] if with_paths else []
+    state = trees.join(offset, "node").select("node", F.col("up").alias("jump"), "pre", *([F.array("node").alias("path")] if with_paths else []))
+    state = next_round(state)
     while state.filter("jump is not null").limit(1).count():
-        ahead = state.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("pre").alias("pre_up"), F.col("path").alias("path_up"))
+        ahead = state.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("pre").alias("pre_up"), *[F.col(c).alias(f"{c}_up") for c in kept])
         moved = state.join(ahead, "jump", "left")
-        path = F.when(F.col("jump").isNull(), F.col("path")).otherwise(F.concat("path_up", "path"))
-        state = durable(moved.select("node", F.col("next").alias("jump"), (F.col("pre") + F.coalesce("pre_up", F.lit(0))).alias("pre"), path.alias("path")))
+        longer = [F.when(F.col("jump").isNull(), F.col(c)).otherwise(F.concat(f"{c}_up", c)).alias(c) for c in kept]
+        state = next_round(moved.select("node", F.col("next").alias("jump"), (F.col("pre") + F.coalesce("pre_up", F.lit(0))).alias("pre"), *longer), state)
     return trees.join(state.drop("jump"), "node")
 
 
@@ -97,11 +99,11 @@ def _nested(trees: DataFrame) -> DataFrame:
 
 def _cycles(rest: DataFrame) -> DataFrame:
     """(node, root): root is the smallest id on the cycle that the node lies on or below."""
-    state = durable(rest.select("node", F.col("up").alias("jump"), F.col("up").alias("low")))
+    state = next_round(rest.select("node", F.col("up").alias("jump"), F.col("up").alias("low")))
     count, stride = state.count(), 1
     while stride < count:
         ahead = state.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("low").alias("low_up"))
-        state = durable(state.join(ahead, "jump").select("node", F.col("next").alias("jump"), F.least("low", "low_up").alias("low")))
+        state = next_round(state.join(ahead, "jump").select("node", F.col("next").alias("jump"), F.least("low", "low_up").alias("low")), state)
         stride *= 2
     # After that many steps every walk is on its cycle and has gone all the way round it.
     return state.select("node", "jump").join(state.select(F.col("node").alias("jump"), F.col("low").alias("root")), "jump").select("node", "root")
@@ -117,8 +119,9 @@ def hierarchy(links: DataFrame, parent: str, child: str, with_paths: bool = True
     give no rows.
     """
     trees, rest = _climb(_parents(links, parent, child))
+    path = F.col("path") if with_paths else F.lit(None).cast("array<string>").alias("path")
     placed = _nested(_descend(trees, with_paths)).select(
-        F.col("node").alias("node_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), "path", (F.col("size") - 1).alias("n_descendants"), "pre"
+        F.col("node").alias("node_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), path, (F.col("size") - 1).alias("n_descendants"), "pre"
     )
     cyclic = _cycles(rest).select(
         F.col("node").alias("node_id"), F.col("root").alias("root_id"), F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path"),

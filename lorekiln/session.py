@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return rows.repartition(cores) if few else rows
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not (context.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
@@ -70,16 +81,29 @@ def durable(df: DataFrame) -> DataFrame:
     ``spark.cleaner.referenceTracking.cleanCheckpoints`` on, Spark removes a checkpoint once nothing refers to it.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
     ship(spark)
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not (context.master or "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+    _shared_folder(spark)
     return df.checkpoint(eager=True)
 
 
+def next_round(df: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Cut the lineage of one round of a loop by a table written to the folder of ``durable``; removes that of ``before``.
+
+    A checkpoint keeps the size that the optimizer estimated, and a join multiplies sizes, so over rounds the estimate
+    grows beyond all bounds and planning with it; a table has its true size.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    at = f"{_shared_folder(spark)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._written_at = at
+    if before is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before._written_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
 def hot_keys(rows: DataFrame, key: str, by: str, limit: int = HOT_ROWS, sample: int = 64) -> DataFrame | None:
     """Keys expected to hold more than ``limit`` rows, with the number of salts for each, or None.
 
