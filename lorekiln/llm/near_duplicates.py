@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekiln.llm.words import WordHashes, mixed, shingles, words_of
-from lorekiln.session import durable, hot_keys
+from lorekiln.session import durable, hot_keys, next_round
 
 #: Bits of the verification signature: one bit of each of so many minima.
 SIGNATURE_BITS = 128
@@ -204,11 +204,11 @@ def expanded_pairs(members: DataFrame, links: DataFrame, max_copies: int | None
     representative with each member, and stands in links to other classes by its representative alone. Members of a
     class have equal sets of word sequences, not equal texts, so pairs of different texts are then left out.
     """
-    sized = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
+    sized = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
     placed = durable(members.join(sized, "rep"))
     ends, classes = placed, sized.filter(F.col("copies") > 1)
     if max_copies is not None:
-        ends = placed.filter((F.col("copies") <= max_copies) | (F.col("id") == F.col("rep")))
+        ends = placed.filter((F.col("copies") <= max_copies) | (F.col("id") == F.col("first")))
         classes = classes.filter(F.col("copies") <= max_copies)
     met = links.select("rep_a", "rep_b").unionByName(classes.select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b")))
     ends = ends.select("rep", "id", "copies")
@@ -229,7 +229,7 @@ def expanded_pairs(members: DataFrame, links: DataFrame, max_copies: int | None
     met = met.join(ends.select(F.col("rep").alias("rep_b"), F.col("part").alias("part_b"), F.col("id").alias("y")), ["rep_b", "part_b"])
     pairs = met.filter("rep_a != rep_b or part_a != part_b or x < y").select("x", "y")
     if max_copies is not None:
-        star = placed.filter((F.col("copies") > max_copies) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("id").alias("y"))
+        star = placed.filter((F.col("copies") > max_copies) & (F.col("id") != F.col("first"))).select(F.col("first").alias("x"), F.col("id").alias("y"))
         pairs = pairs.unionByName(star)
     # an id with several texts may meet another, or itself, more than once
     return pairs.filter("x != y").select(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b")).distinct()
@@ -242,15 +242,15 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     of two aggregations by node. Self-links and repeats do no harm; a null end is ignored.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
-    edges = durable(edges.distinct())
-    before = None
+    edges, before = next_round(edges.distinct()), None
     while True:
+        last = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         edges = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
         edges = edges.join(lowest, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.withColumnRenamed("m", "v"))
-        edges = durable(edges.distinct())
+        edges = next_round(edges.distinct(), last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
