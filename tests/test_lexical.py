@@ -78,3 +78,39 @@ def test_context_stops_at_first_overflow(spark):
     row = fusion.context_blocks(ranked(spark, ["a", "b", "c"]), docs, 200).first()
     assert row["chunks_count"] == 1 and row["context"].startswith("### [p] > h\nxxx") and row["context"].endswith("---")
     assert fusion.context_blocks(ranked(spark, ["b"]), docs, 10).first()["context"].startswith("### [p]\nyyy")
+
+
+def written(spark):
+    """Bytes that the session's tasks have written for shuffles so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_equal_queries_are_searched_once(spark):
+    docs = spark.range(2000).select(F.col("id").alias("ord"), F.concat(F.lit("common number_"), "id").alias("content"))
+    asked = spark.range(1000).select(F.col("id").alias("query_id"), F.lit("common").alias("text"))
+    before = written(spark)
+    found = lexical.keyword_search(docs, asked, "ord", ["content"], "query_id", "text", "ord", 3).collect()
+    assert written(spark) - before < 2_000_000
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in found) == [(q, i + 1, i) for q in range(1000) for i in range(3)]
+
+
+def test_many_queries_equal_fts5(spark):
+    rng = random.Random(5)
+    some = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, some("abcdefgh", rng.randrange(0, 9)), some("abcxyz", rng.randrange(0, 4))) for i in range(300)]
+    texts = [some(["a", "b", "c", "a_b", "b_c_a", "x", "h", "h_g", "nowhere"], rng.randrange(1, 5)) for _ in range(60)]
+    docs = spark.createDataFrame(rows, "ord int, content string, ctx string")
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+    columns, order = ["content", "ctx"], docs.select(F.col("ord").alias("id"), F.col("ord").alias("tie"))
+    direct = lexical.keyword_search(docs, asked, "ord", columns, "query_id", "text", "ord", 4).collect()
+    stored = lexical.index_search(lexical.postings(docs, "ord", columns), lexical.doc_lengths(docs, "ord", columns), asked, "query_id", "text", order, 4).collect()
+    for found in (direct, stored):
+        got = sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 8)) for r in found)
+        want = []
+        for q, text in enumerate(texts):
+            hits = fts(rows, " OR ".join(f'"{t}"' for t in text.split()), 1000)
+            hits = sorted((round(s, 9), i) for i, s in hits)[:4]
+            want += [(q, place, i, round(s, 8)) for place, (s, i) in enumerate(hits, 1)]
+        assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-7)
