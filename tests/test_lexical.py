@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lorekiln.functions.tokens import match_expression
 from lorekiln.operators import fusion, lexical
+from lorekiln.session import durable
 
 
 def fts(rows, expression, limit=30):
@@ -114,3 +115,21 @@ def test_many_queries_equal_fts5(spark):
             hits = sorted((round(s, 9), i) for i, s in hits)[:4]
             want += [(q, place, i, round(s, 8)) for place, (s, i) in enumerate(hits, 1)]
         assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-7)
+
+
+def test_postings_of_a_repeated_id(spark):
+    docs = spark.createDataFrame([(5, "b a b"), (5, "b only"), (6, None)], "ord int, content string")
+    found = lexical.postings(docs, "ord", ["content"]).collect()
+    assert sorted((r["term"], r["id"], r["tf"], r["positions"]) for r in found) == [("a", 5, 1, [1]), ("b", 5, 3, [0, 0, 2]), ("only", 5, 1, [1])]
+
+
+def test_index_and_its_phrases_shuffle_little(spark, docs):
+    table, rows = docs
+    text = ["content", "contextualized_content"]
+    before = written(spark)
+    index = durable(lexical.postings(table, "ord", text))
+    built = written(spark) - before
+    asked = spark.range(200).select(F.col("id").alias("query_id"), F.concat(F.lit("the_gateway_"), "id").alias("text"))
+    order, before = table.select(F.col("ord").alias("id"), F.col("ord").alias("tie")), written(spark)
+    lexical.index_search(index, lexical.doc_lengths(table, "ord", text), asked, "query_id", "text", order).collect()
+    assert built < 250_000 and written(spark) - before < 300_000
